@@ -117,8 +117,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     whole = whole.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long"))
     last = ranked.where("bin >= bins").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "part", "seq")
     last = last.groupBy().applyInPandas(_best_fit(capacity), f"{schema}, bin long, offset long")
-    total = full.agg(F.coalesce(F.sum("bins"), F.lit(0)).alias("total"))
-    last = last.crossJoin(F.broadcast(total)).withColumn("sequence_id", F.col("bin") + F.col("total"))
+    total = full.agg(F.coalesce(F.sum("bins"), F.lit(0))).first()[0]
+    last = last.withColumn("sequence_id", F.col("bin") + F.lit(int(total)).cast("long"))
     return whole.select(*cols).unionByName(last.select(*cols))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadlake.llm import exact_dedup, mixing, packing, wavelet
+from leadlake.llm import exact_dedup, hilbert, mixing, packing, simhash, wavelet
 from leadlake.session import ship
 
 
@@ -21,8 +21,10 @@ def _over_documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessi
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_wavelet_matrix": _over_documents(wavelet.op1),
+        "op4_hilbert_shards": _over_documents(hilbert.op4),
         "op5_exact_dedup": _over_documents(exact_dedup.op5),
         "op6_harmonic_packing": _over_documents(packing.op6),
+        "op9_simhash_pigeonhole": _over_documents(simhash.op9),
         "op10_mixing": _over_documents(mixing.op10),
     }
 
