@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadlake.llm import exact_dedup, hilbert, mixing, packing, simhash, wavelet
+from leadlake.llm import exact_dedup, hilbert, mixing, packing, simhash, wavelet, weak_rules
 from leadlake.session import ship
 
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_hilbert_shards": _over_documents(hilbert.op4),
         "op5_exact_dedup": _over_documents(exact_dedup.op5),
         "op6_harmonic_packing": _over_documents(packing.op6),
+        "op7_weak_supervision": _over_documents(weak_rules.op7),
         "op9_simhash_pigeonhole": _over_documents(simhash.op9),
         "op10_mixing": _over_documents(mixing.op10),
     }
