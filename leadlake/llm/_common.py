@@ -117,3 +117,21 @@ def prefix(df: DataFrame, order: list[str], value: str, key: str | None = None,
     totals = cut(totals.coalesce(1) if not k else totals, f"{name}-offsets")
     out = local.join(totals, ["_part", *k])
     return out.select(*df.columns, (F.col("_rank") + F.col("_n0")).alias("_rank"), (F.col("_before") + F.col("_s0")).alias("_before"))
+
+
+#: The bitmap filter has 2**FILTER_BITS bits, 2 MB whatever the input: false positives cost shuffle, never results.
+FILTER_BITS = 24
+
+
+def bitmap(hashes: DataFrame, col: str) -> DataFrame:
+    """A bitmap of the longs in col, folded to FILTER_BITS: at most 2**FILTER_BITS / 32768 rows of 4 KB."""
+    p = hashes.select((F.pmod(F.col(col), F.lit(1 << FILTER_BITS)) + 1).alias("p"))
+    return p.groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+
+
+def maybe_in(rows: DataFrame, col: str, bits: DataFrame) -> DataFrame:
+    """Rows whose col may be in the bitmap; the broadcast side is bounded by FILTER_BITS."""
+    p = F.pmod(F.col(col), F.lit(1 << FILTER_BITS)) + 1
+    probed = rows.withColumn("_bucket", F.bitmap_bucket_number(p)).withColumn("_at", F.bitmap_bit_position(p))
+    hit = F.expr("getbit(cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int), cast(_at % 8 as int)) = 1")
+    return probed.join(F.broadcast(bits), "_bucket").where(hit).drop("_bucket", "_at", "_bits")

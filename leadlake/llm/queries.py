@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadlake.llm import exact_dedup, hilbert, mixing, packing, simhash, wavelet, weak_rules
+from leadlake.llm import exact_dedup, hilbert, line_dedup, mixing, packing, simhash, wavelet, weak_rules
 from leadlake.session import ship
 
 
@@ -25,10 +25,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": _over_documents(exact_dedup.op5),
         "op6_harmonic_packing": _over_documents(packing.op6),
         "op7_weak_supervision": _over_documents(weak_rules.op7),
+        "op8_line_dedup": _over_documents(line_dedup.op8),
         "op9_simhash_pigeonhole": _over_documents(simhash.op9),
         "op10_mixing": _over_documents(mixing.op10),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
+    return {"op5_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL, "op10_mixing": mixing.SQL}
