@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadlake.llm import exact_dedup, hilbert, line_dedup, mixing, packing, simhash, wavelet, weak_rules
+from leadlake.llm import exact_dedup, hilbert, line_dedup, mixing, packing, simhash, subword, wavelet, weak_rules
 from leadlake.session import ship
 
 
@@ -18,9 +18,15 @@ def _over_documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessi
     return query
 
 
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return subword.op3(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_wavelet_matrix": _over_documents(wavelet.op1),
+        "op3_subword_classifier": _classified,
         "op4_hilbert_shards": _over_documents(hilbert.op4),
         "op5_exact_dedup": _over_documents(exact_dedup.op5),
         "op6_harmonic_packing": _over_documents(packing.op6),
