@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadlake.llm import exact_dedup, hilbert, line_dedup, mixing, packing, simhash, subword, wavelet, weak_rules
+import corpus_pipeline
+from leadlake.llm import exact_dedup, hilbert, line_dedup, mixing, packing, pii, simhash, subword, wavelet, weak_rules
 from leadlake.session import ship
 
 
@@ -26,6 +27,7 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_wavelet_matrix": _over_documents(wavelet.op1),
+        "op2_pii_bootstrap": _over_documents(pii.op2),
         "op3_subword_classifier": _classified,
         "op4_hilbert_shards": _over_documents(hilbert.op4),
         "op5_exact_dedup": _over_documents(exact_dedup.op5),
@@ -34,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": _over_documents(line_dedup.op8),
         "op9_simhash_pigeonhole": _over_documents(simhash.op9),
         "op10_mixing": _over_documents(mixing.op10),
+        "pipeline": corpus_pipeline.run,
     }
 
 
