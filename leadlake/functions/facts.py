@@ -115,7 +115,7 @@ def size_evidence(text: Column) -> Column:
 def headquarters(text: Column) -> Column:
     lands = "Mauritius|United States|USA|UK|United Kingdom|Germany|France|India|Singapore|Australia|Canada|Japan|CA|NY|TX|WA|IL|FL"
     rx = rf"(?:Headquarters|HQ|Main Office|Corporate Office|Based in|Located in|Registered Office)\s*[:\-–]?\s*([A-Z][A-Za-z0-9\s,.\-]{{3,60}}(?:{lands}|\d{{5}}))"
-    return X.truthy(F.rtrim(F.lit(".,"), F.trim(F.regexp_extract(text, rx, 1))))
+    return X.truthy(F.rtrim(F.trim(F.regexp_extract(text, rx, 1)), F.lit(".,")))
 
 
 def country_in(text: Column) -> Column:

@@ -150,13 +150,15 @@ JSON_LD = "struct<type:string,mails:array<string>,city:string,region:string,coun
 
 def json_ld():
     """Arrow function: html -> the facts of its JSON-LD blocks, depth first; the first type, address and head count that say something win."""
-    import pandas as pd
+    from pyspark.sql.pandas.functions import PandasUDFType
 
-    @F.pandas_udf(JSON_LD)
-    def run(pages: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(JSON_LD, PandasUDFType.SCALAR)
+    def run(pages):
         import json
         import re
 
+        import pandas as pd
+
         block = re.compile(r"""<script\b[^>]*\btype\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>""", re.I | re.S).findall
         plain = {"webpage", "website", "breadcrumblist"}
 

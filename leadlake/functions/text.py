@@ -62,8 +62,9 @@ ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy"
 
 
 def unescape(c: Column) -> Column:
-    """Common named entities; &amp; last, so nothing is decoded twice."""
-    return reduce(lambda x, kv: F.regexp_replace(x, f"&{kv[0]};", kv[1].replace("$", r"\$")), ENTITIES.items(), c)
+    """Common named entities; &amp; last, so nothing is decoded twice. A fold, since a chain of calls outgrows a JVM method."""
+    pairs = F.array(*[F.struct(F.lit(f"&{k};").alias("k"), F.lit(v).alias("v")) for k, v in ENTITIES.items()])
+    return F.aggregate(pairs, c, lambda t, e: F.replace(t, e["k"], e["v"]))
 
 
 def normalize_string(c: Column) -> Column:
@@ -72,10 +73,10 @@ def normalize_string(c: Column) -> Column:
 
 def unescape_all(spark_type: str = "string"):
     """Every HTML entity, for text where the common ones are not enough: Arrow batches."""
-    import pandas as pd
+    from pyspark.sql.pandas.functions import PandasUDFType
 
-    @F.pandas_udf(spark_type)
-    def run(s: pd.Series) -> pd.Series:
+    @F.pandas_udf(spark_type, PandasUDFType.SCALAR)
+    def run(s):
         import html
 
         return s.map(lambda x: None if x is None else html.unescape(x))
@@ -104,7 +105,7 @@ def normalize_email(c: Column) -> Column:
 
 def company_key(name: Column) -> Column:
     """A company's name without legal forms, for look-ups."""
-    bare = F.trim(F.lit(" ,.-"), F.regexp_replace(name, LEGAL_FORMS, ""))
+    bare = F.trim(F.regexp_replace(name, LEGAL_FORMS, ""), F.lit(" ,.-"))
     return F.lower(F.regexp_replace(bare, r"\s+", " "))
 
 

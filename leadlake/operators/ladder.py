@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadlake.functions.url import quoted
+
 
 class Rule(NamedTuple):
     id: str
@@ -28,9 +30,10 @@ def says(text: str, *values: Column) -> Column:
 
 
 def first_of(c: Column, patterns: list[str]) -> Column:
-    """The first of the patterns that c matches, null if none."""
-    return F.coalesce(*[F.when(c.rlike(p), F.lit(p)) for p in patterns])
+    """What the first match of any of the patterns is, null if none matches: one pass over the text."""
+    found = F.regexp_extract(c, f"({'|'.join(f'(?:{p})' for p in patterns)})", 1)
+    return F.when(found != "", found)
 
 
 def first_word(c: Column, words: list[str]) -> Column:
-    return F.coalesce(*[F.when(F.contains(c, F.lit(w)), F.lit(w)) for w in words])
+    return first_of(c, [quoted([w]) for w in words])

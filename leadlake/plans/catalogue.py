@@ -1,11 +1,14 @@
-"""The catalogue of queries over the driver's tables and their SQL twins."""
+"""All queries over the driver's tables and their SQL twins."""
 
 from __future__ import annotations
 
+from leadlake.plans import companies, documents, events, pages  # noqa: F401  (they register their queries)
+from leadlake.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
