@@ -217,7 +217,7 @@ def people(text: Column, html: Column, company: Column, limit: int = 8) -> Colum
 def search_person(title: Column, snippet: Column, url: Column) -> Column:
     """struct(name, role) from a search hit: its title without the site's name, cut at dashes; else the profile's slug."""
     bare = F.trim(F.regexp_replace(title, r"(?i)\s*[|\-–]\s*linkedin.*$", ""))
-    parts = F.filter(F.transform(F.split(bare, r"\s+[-–—|]\s+"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(bare, r"\s+[-–—|]\s+"), lambda x: F.trim(x)), lambda x: x != "")
     slug = F.regexp_extract(url, r"(?i)linkedin\.com/in/([a-z0-9\-]+)", 1)
     named = F.array_join(F.transform(F.filter(F.split(slug, "-"), lambda w: ~w.rlike(r"\d")), lambda w: F.initcap(w)), " ")
     role = F.coalesce(F.try_element_at(parts, F.lit(2)), X.truthy(F.regexp_extract(snippet, f"(?i)({TITLE})", 1)))

@@ -58,7 +58,7 @@ def collapse(c: Column) -> Column:
 
 
 #: Entities that pages use most; numbers are decoded by rule.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "bull": "•", "eacute": "é", "egrave": "è", "agrave": "à", "uuml": "ü", "ouml": "ö", "auml": "ä", "szlig": "ß", "ntilde": "ñ", "ccedil": "ç", "amp": "&"}
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "bull": "•", "eacute": "é", "egrave": "è", "agrave": "à", "uuml": "ü", "ouml": "ö", "auml": "ä", "szlig": "ß", "ntilde": "ñ", "ccedil": "ç", "amp": "&"}
 
 
 def unescape(c: Column) -> Column:
@@ -110,7 +110,7 @@ def company_key(name: Column) -> Column:
 
 
 def segments(title: Column) -> Column:
-    return F.filter(F.transform(F.split(title, SEPARATORS), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(title, SEPARATORS), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def company_identity(url_brand: Column, title: Column, raw_name: Column) -> Column:
@@ -142,7 +142,7 @@ def words_split(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 #: Words of cookie banners and menus.

@@ -8,22 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _marked(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """events with a watermark, which wants a time with zone; a batch stays as it is."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
+
+
 def windowed_counts(events: DataFrame, ts: str, kind: str, value: str, late: str = "1 hour", size: str = "1 hour") -> DataFrame:
     """Tumbling counts and sums by kind; rows later than the watermark are left out. Works on a batch too."""
-    e = events.withWatermark(ts, late) if events.isStreaming else events
+    e = _marked(events, ts, late)
     g = e.groupBy(F.window(ts, size).alias("w"), kind).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 2).alias("total"))
-    return g.select(F.col("w.start").alias("start"), kind, "n", "total")
+    return g.select(F.col("w.start").cast("timestamp_ntz").alias("start"), kind, "n", "total")
 
 
 def sessions(events: DataFrame, ts: str, user: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    e = events.withWatermark(ts, late) if events.isStreaming else events
+    e = _marked(events, ts, late)
     g = e.groupBy(F.session_window(ts, gap).alias("w"), user).agg(F.count(F.lit(1)).alias("n"))
-    return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), user, "n")
+    return g.select(F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), user, "n")
 
 
 def first_within(events: DataFrame, ts: str, keys: list[str], ttl: str) -> DataFrame:
     """One event of each key within the time to live, by the watermark: the approximate form of ttl_locks."""
-    return events.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys)
+    return _marked(events, ts, ttl).dropDuplicatesWithinWatermark(keys)
 
 
 def hysteresis(events: DataFrame, key: str, ts: str, value: str, high: float, low: float) -> DataFrame:
