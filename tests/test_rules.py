@@ -136,7 +136,7 @@ def test_scores(spark):
     assert q(t("Acme"), t("tools.io"), t("Software"), t("x" * 45), arr("a", "b"), t("Berlin"), t("11-50"), arr("J D", "K L"), arr("a@x.io")) == 100
     assert q(t("Acme"), t("acme.io"), t("unknown"), t("x" * 20), arr("a"), t("Global"), t(""), arr("J D"), arr("a@example.com")) == 15 + 8 + 8 + 6
     m = one(spark, S.company_match(t("acme.io"), t("Acme"), arr("https://acme.io/a", "https://b.io"), t(True), arr("x"), arr()))
-    assert (m.status, m.score) == ("VERIFIED", 0.92)
+    assert (m.status, m.score) == ("VERIFIED", 0.93)
     w = one(spark, S.worker_confidence(t(0.5), t("Acme"), t("u"), t("d" * 60), t("DE"), t(1.0)))
     assert (w.confidence, w.verified) == (1.0, True)
     assert one(spark, S.completeness(F.create_map(t("industry"), t("x"), t("products"), t("")))) == pytest.approx(1 / 11)
