@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadlake.plans import companies, documents, events, pages  # noqa: F401  (they register their queries)
+from leadlake.plans import companies, documents, events, pages, services  # noqa: F401  (they register their queries)
 from leadlake.plans.registry import QUERIES, SQL
 
 
