@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -132,8 +133,13 @@ def test_op9_empty(none):
     assert simhash.op9(none).collect() == [] and simhash.survivors(none).collect() == []
 
 
-def test_links_join_dense_and_chained_fingerprints(spark):
-    """A ball of close prints, a chain of steps of four bits, pairs at distances 4 and 5, zero."""
+@pytest.mark.parametrize("limits", [None, (2, 1), (1, 2), (1, 1, 0), (2, 1, -1), (0, 0, 0, 0, 0)])
+def test_links_join_dense_and_chained_fingerprints(spark, monkeypatch, limits):
+    """A ball of close prints, a chain of steps of four bits, pairs at distances 4 and 5, zero; by the planned and by other thresholds."""
+    if limits:
+        made = simhash.plan
+        monkeypatch.setattr(simhash, "plan", lambda s, n, d=4: simhash.Plan(simhash._grouped(s, len(limits)), limits))
+        assert made is not simhash.plan
     rng = random.Random(2)
     fps, centre = {0}, rng.getrandbits(64)
     while len(fps) < 400:
