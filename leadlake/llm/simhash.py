@@ -3,8 +3,8 @@
 Equal fingerprints are one vertex. The 64 bits are grouped, correlated bits together, into m parts; part i gets a threshold t_i >= -1 (-1: not
 probed) with sum(t_i) = 4 + 1 - m, so two fingerprints within 4 bits must lie within t_i bits in some part i. Number of parts and thresholds
 come from dynamic programming over estimated candidate counts (from a bounded sample; the estimate moves cost, never results). Each
-fingerprint stands in the bucket of its own key in every part, and probes the buckets of the keys within t_i bits; probes of empty buckets are
-dropped by a bitmap of all keys in use, of 2**width bits whatever the input.
+fingerprint stands in the bucket of its own key in every part, and probes the buckets of the keys within t_i bits; most probes of empty
+buckets are dropped by a bitmap of all keys in use, of at most 2**BITMAP_BITS bits whatever the input, the others and lone rows by a count.
 
 All pairs of a bucket are never written. First each row is compared with its bucket's least fingerprint; the components of these links
 are found; then only rows outside their bucket's largest component are compared with the bucket's other components, which finds every link that
@@ -29,7 +29,9 @@ from leadlake.llm.graph import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 SAMPLE = 2048  # fingerprints looked at to estimate candidates
-BITMAP_BITS = 24  # widest part that gets a bitmap: 2 MB
+BITMAP_BITS = 27  # a part's bitmap has about 256 bits for each fingerprint, but no more than 2**27: 16 MB
+#: What a row costs, in comparisons of two fingerprints: standing in a bucket, a probe made, one that passes the bitmap, one that meets a row.
+OWN, MADE, PASSED, HIT = 5.0, 0.025, 2.0, 8.0
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -95,7 +97,7 @@ def _keys(fps: np.ndarray, bits: tuple[int, ...]) -> np.ndarray:
 def _grouped(sample: np.ndarray, m: int) -> tuple[tuple[int, ...], ...]:
     """Bits in m parts of equal width; each part starts with the least free bit and takes the bits most correlated with those it has."""
     on = (sample[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(np.float64)
-    on -= on.mean(axis=0)
+    on -= on.mean(axis=0) if len(on) else 0
     norm = np.sqrt((on**2).sum(axis=0))
     cor = np.abs(on.T @ on) / np.maximum(np.outer(norm, norm), 1e-9)
     free, out = list(range(64)), []
@@ -127,8 +129,8 @@ def plan(sample: np.ndarray, rows: int, distance: int = DISTANCE) -> Plan:
             for t in range(distance + 2 - m + m):
                 keys = sum(comb(w, j) for j in range(t + 1))
                 share = max(seen[: t + 1].sum() / pairs, keys / 2.0**w)
-                lives = min(1.0, rows / 2.0**w) if w <= BITMAP_BITS else 1.0
-                cost[t] = rows * keys * (0.2 + 5 * lives) + rows * rows / 2 * share
+                hits, passes = min(1.0, rows / 2.0**w), min(1.0, rows / 2.0 ** _map_bits(w, rows))
+                cost[t] = rows * (OWN + keys * (MADE + PASSED * passes + HIT * hits)) + rows * rows / 2 * share
             table.append(cost)
         # least cost of the first parts for each sum of thresholds
         state = {0: (0.0, ())}
@@ -145,29 +147,35 @@ def plan(sample: np.ndarray, rows: int, distance: int = DISTANCE) -> Plan:
     return best[1]
 
 
-def _bitmaps(fps: DataFrame, p: Plan) -> dict[int, bytes]:
-    """For each probed part of bounded width, a bitmap of the keys in use, built by native aggregation: 2**width bits each."""
+def _map_bits(width: int, rows: int) -> int:
+    return min(width, BITMAP_BITS, max(22, (256 * rows).bit_length()))
+
+
+def _bitmaps(fps: DataFrame, p: Plan, rows: int) -> dict[int, tuple[int, bytes]]:
+    """For each probed part its bitmap of the keys in use, wide keys folded, built by native aggregation."""
     out = {}
     for i, (bits, t) in enumerate(zip(p.parts, p.limits, strict=True)):
-        if t < 1 or len(bits) > BITMAP_BITS:
+        if t < 1:
             continue
+        size = _map_bits(len(bits), rows)
         key = F.lit(0).cast("long")
-        for j, b in enumerate(bits):
-            key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1)), j))
+        for j, b in enumerate(bits):  # bits past the bitmap's width fold onto two others each, so no one or two flips leave the place as it was
+            for place in [j] if j < size else [j - size, j - size + size // 2]:
+                key = key.bitwiseXOR(F.shiftleft(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1)), place))
         k = fps.select((key + 1).alias("k"))
         got = k.groupBy(F.bitmap_bucket_number("k").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("bits")).collect()
-        whole = np.zeros(max(4096, (1 << len(bits)) // 8), np.uint8)
+        whole = np.zeros(max(4096, (1 << size) // 8), np.uint8)
         for r in got:
             whole[(r.n - 1) * 4096 : r.n * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-        out[i] = whole.tobytes()
+        out[i] = (size, whole.tobytes())
     return out
 
 
-def _signer(p: Plan, maps: dict[int, bytes]):
+def _signer(p: Plan, maps: dict[int, tuple[int, bytes]]):
     def run(batches):
         import pyarrow as pa
 
-        used = {i: np.frombuffer(m, np.uint8) for i, m in maps.items()}
+        used = {i: (size, np.frombuffer(m, np.uint8)) for i, (size, m) in maps.items()}
         masks = {
             i: np.array([sum(1 << j for j in c) for n in range(1, t + 1) for c in combinations(range(len(bits)), n)], np.int64)
             for i, (bits, t) in enumerate(zip(p.parts, p.limits, strict=True)) if t >= 1
@@ -179,8 +187,8 @@ def _signer(p: Plan, maps: dict[int, bytes]):
 
         for b in batches:
             all_ = b.column("fp").to_numpy(zero_copy_only=False)
-            for at in range(0, len(all_), 2000):
-                fps = all_[at : at + 2000]
+            for at in range(0, len(all_), 1000):
+                fps = all_[at : at + 1000]
                 for i, (bits, t) in enumerate(zip(p.parts, p.limits, strict=True)):
                     if t < 0:
                         continue
@@ -189,9 +197,11 @@ def _signer(p: Plan, maps: dict[int, bytes]):
                     if t:
                         near = (keys[:, None] ^ masks[i][None, :]).ravel()
                         whose = np.repeat(fps, len(masks[i]))
-                        if i in used:
-                            live = (used[i][near >> 3] >> (near & 7).astype(np.uint8) & 1).astype(bool)
-                            near, whose = near[live], whose[live]
+                        size, bitmap = used[i]
+                        over = near >> size
+                        at_bit = near & ((1 << size) - 1) ^ over ^ over << size // 2
+                        live = (bitmap[at_bit >> 3] >> (at_bit & 7).astype(np.uint8) & 1).astype(bool)
+                        near, whose = near[live], whose[live]
                         yield rows(i, near, whose, True)
 
     return run
@@ -200,14 +210,16 @@ def _signer(p: Plan, maps: dict[int, bytes]):
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """fps (fp), distinct -> (a, b): links of at most distance bits that join all fingerprints that any such links join."""
     sample = np.array([r.fp for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    p = plan(sample, fps.count(), distance)
-    signed = cut(fps.select("fp").mapInArrow(_signer(p, _bitmaps(fps, p)), "part byte, key long, fp long, probe boolean"), "simhash-keys")
+    n = fps.count()
+    p = plan(sample, n, distance)
+    signed = cut(fps.select("fp").mapInArrow(_signer(p, _bitmaps(fps, p, n)), "part byte, key long, fp long, probe boolean"), "simhash-keys")
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
     bucket = ["part", "key"]
-    heads = signed.where("not probe").groupBy(*bucket).agg(F.min("fp").alias("head"))
-    star = cut(signed.join(heads, bucket).where(F.col("fp") != F.col("head")).where(close("fp", "head")).select(F.col("fp").alias("a"), F.col("head").alias("b")), "simhash-star")
+    heads = signed.groupBy(*bucket).agg(F.min(F.when(~F.col("probe"), F.col("fp"))).alias("head"), F.count(F.lit(1)).alias("n")).where("head is not null and n > 1").drop("n")
+    live = cut(signed.join(heads, bucket), "simhash-live")
+    star = cut(live.where(F.col("fp") != F.col("head")).where(close("fp", "head")).select(F.col("fp").alias("a"), F.col("head").alias("b")), "simhash-star")
     comp = components(star, "simhash-cc").withColumnRenamed("v", "fp")
-    labelled = cut(signed.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "simhash-labelled")
+    labelled = cut(live.drop("head").join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "simhash-labelled")
     sizes = labelled.groupBy(*bucket, "comp").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("probe")).alias("own"))
     mixed = sizes.groupBy(*bucket).agg(F.count(F.lit(1)).alias("comps"), F.sum("own").alias("own"), F.max(F.struct("n", "comp")).alias("most"))
     mixed = cut(mixed.where("comps > 1 and own > 0").select(*bucket, F.col("most.comp").alias("main")), "simhash-mixed")
