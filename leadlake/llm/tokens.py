@@ -119,15 +119,15 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def chunks(texts: pa.Array):
-    """Slices of at most CHUNK_BYTES of text, or of one text."""
+def chunks(texts: pa.Array, most: int | None = None):
+    """Slices of at most so many bytes of text (CHUNK_BYTES), or of one text."""
     texts = texts.cast(pa.large_string()).fill_null("") if texts.null_count else texts.cast(pa.large_string())
     at = texts.offsets.to_numpy(zero_copy_only=False) if hasattr(texts, "offsets") else None
     if at is None:
         at = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
     n, i = len(texts), 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(at, at[i] + (most or CHUNK_BYTES), "right")) - 1)
         yield i, texts.slice(i, j - i)
         i = j
 

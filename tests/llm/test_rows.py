@@ -88,12 +88,12 @@ def test_op3_folded_scores_equal_the_network():
     rng = random.Random(1)
     texts = ["", "a a a a b", *(" ".join(rng.choice("ab cd eé fgh") * 2 for _ in range(30)) for _ in range(20))]
     arr = pa.array(texts, pa.large_string())
-    feats = subword.document_features(subword._Words(None), arr)
+    feats = subword.document_features(arr)
     vec, out, bias = subword.train(feats, np.array([i % 2 for i in range(len(texts))]))
     z = np.array([out @ (w @ vec[i]) + bias for i, w in feats])
     want = 1 / (1 + np.exp(z[:, 0] - z[:, 1]))
     model = subword.Model((vec @ (out[1] - out[0])).astype(np.float64), float(bias[1] - bias[0]))
-    assert np.allclose(model.score(subword._Words(model.table), arr), want, atol=1e-4)
+    assert np.allclose(model.score(arr), want, atol=1e-4)
 
 
 @pytest.mark.parametrize(("dims", "bits"), [(2, 3), (3, 2), (3, 4), (4, 2)])
