@@ -96,34 +96,30 @@ def em(patterns: DataFrame, rules: list[str], rounds: int = ROUNDS) -> tuple[flo
     """patterns (the rules' votes, n) -> the prior of good and, by (rule, class, vote), the rates."""
     rate = {(r, c, v): START[c][v + 1] for r in rules for c in (0, 1) for v in (-1, 0, 1)}
     prior = PRIOR_GOOD
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.col(r).alias("vote")) for i, r in enumerate(rules)]))
     for _ in range(rounds):
-        p = patterns.withColumn("p", posterior(rules, prior, rate))
-        sums = [F.sum(F.col("n") * F.col("p")).alias("good"), F.sum("n").alias("all")]
-        for r in rules:
-            for v in (-1, 0, 1):
-                hit = F.when(F.col(r) == v, F.col("n")).otherwise(0)
-                sums += [F.sum(hit * F.col("p")).alias(f"{r}|1|{v}"), F.sum(hit).alias(f"{r}|a|{v}")]
-        got = p.agg(*sums).first()
-        if not got["all"]:
+        p = patterns.select("n", (F.col("n") * posterior(rules, prior, rate)).alias("good"), cells.alias("c"))
+        got = {(r.rule, r.vote): (r.good, r.n) for r in p.groupBy("c.rule", "c.vote").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect()}  # 3 * rules rows at most
+        if not got:
             break
-        good, bad = got["good"], got["all"] - got["good"]
-        prior = min(max(good / got["all"], FLOOR), 1 - FLOOR)
-        for r in rules:
+        good, all_ = (sum(got.get((0, v), (0.0, 0))[k] for v in (-1, 0, 1)) for k in (0, 1))
+        prior = min(max(good / all_, FLOOR), 1 - FLOOR)
+        for i, r in enumerate(rules):
             for v in (-1, 0, 1):
-                a, b = got[f"{r}|1|{v}"], got[f"{r}|a|{v}"] - got[f"{r}|1|{v}"]
+                a, n = got.get((i, v), (0.0, 0))
                 rate[r, 1, v] = max(FLOOR, (a + SMOOTH) / (good + 3 * SMOOTH))
-                rate[r, 0, v] = max(FLOOR, (b + SMOOTH) / (bad + 3 * SMOOTH))
+                rate[r, 0, v] = max(FLOOR, (n - a + SMOOTH) / (all_ - good + 3 * SMOOTH))
     return prior, rate
 
 
 def posterior(rules: list[str], prior: float, rate: dict) -> Column:
-    """The probability of good, given the votes."""
+    """The probability of good, given the votes. The gains stand in one array, so that the generated code is the same in every round."""
     from math import log
 
-    odds = F.lit(log(prior / (1 - prior)))
-    for r in rules:
-        gain = {v: log(rate[r, 1, v] / rate[r, 0, v]) for v in (-1, 0, 1)}
-        odds = odds + F.when(F.col(r) == -1, gain[-1]).when(F.col(r) == 0, gain[0]).otherwise(gain[1])
+    gains = F.array(*[F.lit(log(rate[r, 1, v] / rate[r, 0, v])) for r in rules for v in (-1, 0, 1)], F.lit(log(prior / (1 - prior))))
+    odds = F.get(gains, F.lit(3 * len(rules)))
+    for i, r in enumerate(rules):
+        odds = odds + F.get(gains, F.col(r) + (3 * i + 1))
     return 1 / (1 + F.exp(-odds))
 
 
