@@ -32,6 +32,7 @@ EPOCHS, RATE, SEED = 5, 0.5, 7
 THRESHOLD = 0.7
 HELD_OUT = "pmod(crc32(cast(doc_id as string)), 4) = 2"
 CHUNK_BYTES = 2 << 20  # text scored at once
+BLOCK_BYTES = 1 << 20  # text cut into n-grams at once, however long its words are
 _PAIR, _MIX, _CONSTANT, _SAME, _AGAIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 1, 2, 3
 
 
@@ -45,22 +46,23 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return ((h * _MIX) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def _features(words: list[bytes], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word, bucket) of every word itself and of its character n-grams: of bytes, with word borders. Rolling sums over all words at once."""
-    framed = [b"<" + w[:64] + b">" for w in words]
-    lens = np.fromiter(map(len, framed), np.int64, len(framed))
-    text = np.frombuffer(b"".join(framed), np.uint8).astype(np.uint64)
-    word = np.repeat(np.arange(len(words)), lens)
-    left = np.repeat(np.cumsum(lens), lens) - np.arange(len(text))
-    whose, buckets = [np.arange(len(words))], [_bucket(h)]
-    for n in NGRAMS:
-        at = np.flatnonzero(left >= n)
-        gram = np.full(len(at), n, np.uint64)
-        for k in range(n):
-            gram = gram * _PAIR + text[at + k]
-        whose.append(word[at])
-        buckets.append(_bucket(gram ^ gram >> np.uint64(32)))
-    return np.concatenate(whose), np.concatenate(buckets)
+def _features(words: list[bytes], h: np.ndarray):
+    """(word, bucket) of every word itself and of its character n-grams: of bytes, with word borders. Rolling sums over all words, BLOCK_BYTES at a time."""
+    yield np.arange(len(words)), _bucket(h)
+    flat = np.frombuffer(b"".join([b"<" + w + b">" for w in words]), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    for a in range(0, len(flat), BLOCK_BYTES):
+        z = min(a + BLOCK_BYTES, len(flat))
+        text = flat[a : z + max(NGRAMS) - 1].astype(np.uint64)  # an n-gram belongs to the block that it starts in
+        some = np.arange(np.searchsorted(ends, a, "right"), np.searchsorted(ends, z - 1, "right") + 1)
+        word = np.repeat(some, np.diff(np.minimum(ends[some], z), prepend=a))
+        left = ends[word] - np.arange(a, z)
+        for n in NGRAMS:
+            at = np.flatnonzero(left >= n)
+            gram = np.full(len(at), n, np.uint64)
+            for k in range(n):
+                gram = gram * _PAIR + text[at + k]
+            yield word[at], _bucket(gram ^ gram >> np.uint64(32))
 
 
 def _pair_buckets(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -103,8 +105,11 @@ class Model:
             return np.ones(len(texts))
         words, idx, counts = _split(texts)
         each = _hashes(words)
-        word, bucket = _features(words, each)
-        means = np.bincount(word, self.table[bucket], len(words)) / np.maximum(np.bincount(word, minlength=len(words)), 1)
+        sums, parts = np.zeros(len(words)), np.zeros(len(words), np.int64)
+        for word, bucket in _features(words, each):
+            sums += np.bincount(word, self.table[bucket], len(words))
+            parts += np.bincount(word, minlength=len(words))
+        means = sums / np.maximum(parts, 1)
         ends = np.cumsum(counts)
         first = (ends - counts)[counts > 0]
         pairs = _pair_buckets(each[idx], first)
@@ -119,7 +124,7 @@ def document_features(texts) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text its buckets and their weights in the document's mean."""
     words, idx, counts = _split(texts)
     each = _hashes(words)
-    word, bucket = _features(words, each)
+    word, bucket = map(np.concatenate, zip(*_features(words, each), strict=True))
     order = np.argsort(word, kind="stable")
     bucket = bucket[order]
     borders = np.searchsorted(word[order], np.arange(len(words) + 1))
