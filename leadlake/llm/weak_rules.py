@@ -30,36 +30,56 @@ PRIOR_GOOD = 0.8
 START = ((0.3, 0.5, 0.2), (0.02, 0.48, 0.5))
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+SPACE = r"\x20\x09-\x0D"
+
+
+def _less(text: Column, of: str) -> Column:
+    """How many characters of text are in the class `of`, which no text is made of for the most part: runs of it are taken out."""
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, f"[{of}]+", ""))
+
+
+def _repeated(h: Column) -> Column:
+    """(hash, place) of all windows in order of hash, if any hash comes twice; else none."""
+    return F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and further counts, over whole texts."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and further counts, over whole texts.
+
+    A text is split once and thinned once, to what is neither a-z nor white space; the counts are made from the words and the thin text.
+    """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"[\x20\x09-\x0D]+", "") != "")
     d = d.select(
-        "doc_id",
-        _words(F.col("text")).alias("w"),
-        F.char_length(F.regexp_replace("text", r"[\x20\x09-\x0D]", "")).cast("long").alias("word_chars"),
-        F.char_length(F.regexp_replace("text", r"[^#*$%&|<>]", "")).cast("long").alias("n_symbols"),
-        lines.alias("lines"),
-        F.regexp_count("text", F.lit(r"[#*$%&|<>](?=[\x20\x09-\x0D]|$)")).cast("long").alias("n_symbol_ends"),
-        F.char_length(F.regexp_replace("text", r"[^\p{L}]", "")).cast("long").alias("n_letters"),
-        F.char_length(F.regexp_replace("text", r"[^A-Z]", "")).cast("long").alias("n_upper"),
-        F.char_length(F.regexp_replace("text", r"[^!?]", "")).cast("long").alias("n_shouts"),
-        F.char_length(F.regexp_replace("text", r"[^0-9]", "")).cast("long").alias("n_digits"),
-        F.char_length(F.regexp_replace("text", r"[^.]", "")).cast("long").alias("n_stops"),
-    )
-    d = d.withColumn("n_words", F.size("w").cast("long")).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).withColumn("n_types", F.size(F.array_distinct("w")).cast("long"))
-    repeat = F.expr(
-        """
-        element_at(transform(array(sort_array(if(size(w) < 3, array(), transform(sequence(0, size(w) - 3), i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) as h, i as i))))),
-          s -> element_at(transform(array(array_sort(filter(transform(s, (x, k) -> if((k > 0 and s[greatest(k - 1, 0)].h = x.h) or (k + 1 < size(s) and s[least(k + 1, size(s) - 1)].h = x.h), x.i, -1)), i -> i >= 0))),
-            m -> if(size(m) = 0, 0L, aggregate(transform(m, (x, k) -> if(k + 1 < size(m), least(3, m[least(k + 1, size(m) - 1)] - x), 3)), 0L, (a, n) -> a + n))), 1)), 1)
-        """
-    )
-    return d.withColumn("n_repeat_words", repeat).drop("w", "lines")
+        "doc_id", "text",
+        F.array_remove(F.split("text", f"[{SPACE}]+"), "").alias("w"),
+        F.regexp_replace("text", f"[a-z{SPACE}]+", "").alias("thin"),
+        F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("lines"),
+    )
+    thin = F.col("thin")
+    d = d.select(
+        "doc_id", "text", "w",
+        F.size("w").cast("long").alias("n_words"),
+        F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        _less(thin, "#*$%&|<>").cast("long").alias("n_symbols"),
+        F.char_length(F.regexp_replace(thin, r"\p{L}+", "")).cast("long").alias("n_others"),
+        _less(thin, "A-Z").cast("long").alias("n_upper"),
+        _less(thin, "!?").cast("long").alias("n_shouts"),
+        _less(thin, "0-9").cast("long").alias("n_digits"),
+        (F.octet_length(thin) - F.octet_length(F.replace(thin, F.lit("."), F.lit("")))).cast("long").alias("n_stops"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.size(F.array_distinct("w")).cast("long").alias("n_types"),
+        F.expr("if(size(w) < 3, cast(array() as array<bigint>), transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])))").alias("h"),
+    )
+    d = d.withColumns({
+        "n_letters": F.col("word_chars") - F.col("n_others"),
+        "n_symbol_ends": F.when(F.col("n_symbols") > 0, F.regexp_count("text", F.lit(f"[#*$%&|<>](?=[{SPACE}]|$)"))).otherwise(0).cast("long"),
+        "s": _repeated(F.col("h")),
+    }).drop("text", "w", "h", "n_others")
+    same = "(k > 0 and s[greatest(k - 1, 0)].h = x.h) or (k + 1 < size(s) and s[least(k + 1, size(s) - 1)].h = x.h)"
+    d = d.withColumn("m", F.sort_array(F.expr(f"filter(transform(s, (x, k) -> if({same}, x.i, -1)), i -> i >= 0)"))).drop("s")
+    # each window covers up to three words, less what the next one covers
+    covered = F.expr("aggregate(transform(m, (x, k) -> if(k + 1 < size(m), least(3, m[least(k + 1, size(m) - 1)] - x), 3)), 0L, (a, n) -> a + n)")
+    return d.withColumn("n_repeat_words", covered).drop("m")
 
 
 def votes() -> dict[str, Column]:
@@ -93,7 +113,8 @@ def votes() -> dict[str, Column]:
 
 
 def em(patterns: DataFrame, rules: list[str], rounds: int = ROUNDS) -> tuple[float, dict[tuple[str, int, int], float]]:
-    """patterns (the rules' votes, n) -> the prior of good and, by (rule, class, vote), the rates."""
+    """patterns (the rules' votes, n), a small table -> the prior of good and, by (rule, class, vote), the rates. A round is one task."""
+    patterns = patterns.coalesce(1)
     rate = {(r, c, v): START[c][v + 1] for r in rules for c in (0, 1) for v in (-1, 0, 1)}
     prior = PRIOR_GOOD
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.col(r).alias("vote")) for i, r in enumerate(rules)]))
@@ -128,7 +149,7 @@ def judge(docs: DataFrame) -> DataFrame:
     v = votes()
     rules = list(v)
     seen = cut(statistics(docs).withColumns(v), "weak-votes")
-    patterns = cut(seen.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")), "weak-patterns")
+    patterns = cut(seen.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "weak-patterns")
     prior, rate = em(patterns, rules)
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * int(100 * MOST_REPEATED))
     out = seen.withColumn("quality", posterior(rules, prior, rate)).withColumn("base_failed", failed)
