@@ -73,8 +73,13 @@ def clean_text(html: Column, tags: tuple[str, ...] = NOISE) -> Column:
     return X.collapse(X.unescape(bare))
 
 
+def head_text(html: Column) -> Column:
+    """The text of a page's first 15000 characters."""
+    return X.collapse(F.regexp_replace(without(F.substring(html, 1, 15000)), "<[^>]*>", " "))
+
+
 def preview(html: Column) -> Column:
-    return F.substring(X.collapse(F.regexp_replace(without(F.substring(html, 1, 15000)), "<[^>]*>", " ")), 1, 3500)
+    return F.substring(head_text(html), 1, 3500)
 
 
 def links(html: Column) -> Column:

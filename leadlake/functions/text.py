@@ -57,14 +57,28 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-#: Entities that pages use most; numbers are decoded by rule.
+#: Entities that pages use most; numbers are decoded by rule, &amp; last of all.
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "bull": "•", "eacute": "é", "egrave": "è", "agrave": "à", "uuml": "ü", "ouml": "ö", "auml": "ä", "szlig": "ß", "ntilde": "ñ", "ccedil": "ç", "amp": "&"}
 
 
+def _numbered(entity: Column) -> Column:
+    """The character of &#n; or &#xh;, the entity itself if it has none."""
+    hexed = F.regexp_extract(entity, r"(?i)^&#x0*([0-9a-f]{1,6});$", 1)
+    plain = F.regexp_extract(entity, r"^&#0*([0-9]{1,7});$", 1)
+    code = F.when(hexed != "", F.conv(hexed, 16, 10)).otherwise(plain).try_cast("int")
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(entity)
+
+
 def unescape(c: Column) -> Column:
-    """Common named entities; &amp; last, so nothing is decoded twice. A fold, since a chain of calls outgrows a JVM method."""
-    pairs = F.array(*[F.struct(F.lit(f"&{k};").alias("k"), F.lit(v).alias("v")) for k, v in ENTITIES.items()])
-    return F.aggregate(pairs, c, lambda t, e: F.replace(t, e["k"], e["v"]))
+    """Common named entities and all numbers; the ampersand last, so nothing is decoded twice. A fold, since a chain of calls outgrows a JVM
+    method; only the entities that a text holds are replaced."""
+    known = F.array(*[F.struct(F.lit(f"&{k};").alias("k"), F.lit(v).alias("v")) for k, v in ENTITIES.items()])
+    numbers = F.filter(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(&#(?:[0-9]+|[xX][0-9a-fA-F]+);)"), F.lit(1))), lambda e: _numbered(e) != "&")
+    shown = F.aggregate(numbers, c, lambda t, e: F.replace(t, e, _numbered(e)))
+    named = F.aggregate(known, shown, lambda t, e: F.when(F.contains(t, e["k"]), F.replace(t, e["k"], e["v"])).otherwise(t))
+    last = F.regexp_replace(named, r"&#(?:0*38|[xX]0*26);", "&")
+    return F.when(F.contains(c, F.lit("&")), F.when(F.contains(c, F.lit("&#")), last).otherwise(named)).otherwise(c)
 
 
 def normalize_string(c: Column) -> Column:

@@ -137,18 +137,32 @@ def same_site(target: Column, base: Column) -> Column:
     return (a != "") & (b != "") & ((a == b) | F.endswith(a, F.concat(F.lit("."), b)))
 
 
+def _without_dots(p: Column) -> Column:
+    """A path with its '.' and '..' steps taken."""
+    none = F.array().cast("array<string>")
+    taken = F.aggregate(F.split(p, "/"), none, lambda a, s: F.when(s == ".", a).when(s == "..", F.when(F.size(a) > 1, F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a)).otherwise(F.array_append(a, s)))
+    out = F.concat(F.array_join(taken, "/"), F.when(p.rlike(r"(^|/)\.\.?$"), "/").otherwise(""))
+    return F.when(p.rlike(r"(^|/)\.\.?(/|$)"), F.regexp_replace(F.concat(F.lit("/"), out), "^//+", "/")).otherwise(p)
+
+
+def _tidy_path(full: Column) -> Column:
+    # an array of one, so that the address is made once and not at each place it is looked at
+    tidy = lambda x: F.concat(F.regexp_extract(x, r"^([^?#]*://[^/?#]*)", 1), _without_dots(F.regexp_extract(x, _PARTS, 3)), F.regexp_extract(x, r"^[^?#]*([?#].*)?$", 1))
+    return F.element_at(F.transform(F.array(full), tidy), 1)
+
+
 def resolve(url: Column, base: Column) -> Column:
-    """url against base, for the relative forms that pages use."""
+    """url against base, for the relative forms that pages use; steps up and down a path are taken."""
     root = F.concat(scheme(base), F.lit("://"), F.regexp_extract(base, _PARTS, 2))
     folder = F.regexp_extract(path(base), r"^(.*/)", 1)
     clean = F.regexp_replace(base, r"[?#].*$", "")
     return (
-        F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), url)
+        F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), url).when(url == "", base)
         .when(F.startswith(url, F.lit("//")), F.concat(scheme(base), F.lit(":"), url))
-        .when(F.startswith(url, F.lit("/")), F.concat(root, url))
+        .when(F.startswith(url, F.lit("/")), _tidy_path(F.concat(root, url)))
         .when(F.startswith(url, F.lit("?")), F.concat(clean, url))
         .when(F.startswith(url, F.lit("#")), F.concat(F.regexp_replace(base, r"#.*$", ""), url))
-        .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), url))
+        .otherwise(_tidy_path(F.concat(root, F.when(folder == "", "/").otherwise(folder), url)))
     )
 
 
@@ -162,7 +176,7 @@ def normalize(url: Column, base: Column | None = None) -> Column:
     kept = F.filter(F.split(query(u), "&"), lambda kv: kv.rlike(r"^[^=]*=.") & ~F.lower(F.substring_index(kv, "=", 1)).isin(TRACKING_KEYS))
     q = F.array_join(kept, "&")
     out = F.concat(F.when(scheme(u) == "", "").otherwise(F.concat(scheme(u), F.lit("://"))), authority(u), p, F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
-    return F.when(F.coalesce(u, F.lit("")) == "", F.lit(None)).otherwise(out)
+    return F.when((F.coalesce(url, F.lit("")) == "") | (F.coalesce(u, F.lit("")) == ""), F.lit(None)).otherwise(out)
 
 
 def brand(domain: Column, specials: dict[str, str] | None = None) -> Column:

@@ -32,7 +32,7 @@ CASES = [
     (U.company_profile_guess, "https://my-firm.io", "https://www.linkedin.com/company/myfirm"), (U.company_profile_guess, "a.io", None), (U.path_slug, "http://x.com/a/b/", "a_b"), (U.path_slug, "http://x.com", "homepage"),
     (U.artifact_slug, "My Page!", "my_page_"), (U.artifact_slug, "", "homepage"), (U.ending, "http://x/a/File.PDF?x", ".pdf"), (U.resource_name, "http://x/a/f.txt", "f.txt"), (U.favicon, "www.a.io", "https://a.io/favicon.ico"),
     (lambda c: U.strip_www(c), "web.com", "web.com"), (lambda c: U.strip_www(c, True), "web.com", "eb.com"),
-    (X.normalize_string, "  a &amp;\n b&nbsp;&lt;c&gt; ", "a & b <c>"), (X.normalize_string, "   ", None), (X.normalize_string, "&amp;lt;", "&lt;"), (X.normalize_language, "EN-gb", "en"), (X.normalize_country, "uk", "United Kingdom"), (X.normalize_country, "new land", "New Land"),
+    (X.normalize_string, "  a &amp;\n b&nbsp;&lt;c&gt; ", "a & b <c>"), (X.normalize_string, "   ", None), (X.normalize_string, "&amp;lt;", "&lt;"), (X.normalize_string, "Bob&#39;s &#8217;&#x1F600;&#38;lt; &#xD800;&amp;#39;", "Bob's \u2019\U0001F600&lt; &#xD800;&#39;"), (X.normalize_language, "EN-gb", "en"), (X.normalize_country, "uk", "United Kingdom"), (X.normalize_country, "new land", "New Land"),
     (X.normalize_phone, "+1 (2) 34567", "+1234567"), (X.normalize_phone, "12-34", "12-34"), (X.normalize_email, " A@B.co ", "a@b.co"), (X.normalize_email, "a@b", None),
     (X.sanitize_secrets, "password=abc&x", "password=***REDACTED***&x"), (X.sanitize_secrets, "postgresql://u:pw@h", "postgresql://u:***REDACTED***@h"), (X.sanitize_query, "  crm tools ", "crm tools"), (X.sanitize_query, "warez site", None), (X.sanitize_query, "ab", None),
     (X.words_regex, "it's a test", 4), (X.words_split, " it's  a test ", 3), (X.words_split, None, 0), (X.number, "1,234", 1234), (X.digits, "about 12 x 3", 123), (X.digits, "none", 0),
@@ -58,7 +58,8 @@ def test_case(spark, case):
 def test_two_arguments(spark):
     assert out(spark, U.same_site, "https://blog.x.com/a", "www.x.com") is True
     assert out(spark, U.same_site, "https://xx.com", "x.com") is False
-    assert out(spark, U.normalize, "../a", "http://x.com/b/c") == "http://x.com/b/../a"
+    assert out(spark, U.normalize, "../a", "http://x.com/b/c") == "http://x.com/a"
+    assert [out(spark, U.resolve, u, "https://x.com/b/c/d?q#f") for u in ("../../../z", "./e/../g?y=1", "..", "/a/./b/../c", "k")] == ["https://x.com/z", "https://x.com/b/c/g?y=1", "https://x.com/b/", "https://x.com/a/c", "https://x.com/b/c/k"]
     assert out(spark, U.normalize, "//y.com/z/", "https://x.com/b") == "https://y.com/z"
     assert out(spark, U.normalize, "?q=1", "https://x.com/b?z=2") == "https://x.com/b?q=1"
     assert [out(spark, U.link_score, u, t) for u, t in (("/x", "Our team"), ("/cart", ""), ("/x", "y"))] == [0, 2, 1]
