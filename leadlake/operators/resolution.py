@@ -104,11 +104,11 @@ def assemble(sessions: DataFrame, documents: DataFrame, evidence: DataFrame, peo
     return j.withColumn("evidence", X.merge_maps(spare, F.coalesce("evidence", none))).withColumn("people_verified", F.coalesce("people_verified", F.lit(False))).drop("word_count", "raw_path")
 
 
-def evaluate(assembled: DataFrame) -> DataFrame:
+def evaluate(assembled: DataFrame, vault_word: str) -> DataFrame:
     """The contract over assembled sessions."""
     s = {c: (F.col(c) if c in assembled.columns else F.lit(None).cast("string")) for c in ("company_name", "domain", "description", "industry", "headquarters", "email", "company_size", "linkedin_url")}
     infra = F.col("infra_failure") if "infra_failure" in assembled.columns else F.lit(False)
-    return assembled.withColumn("contract", S.contract(s, F.col("evidence"), infra, F.col("people_verified")))
+    return assembled.withColumn("contract", S.contract(s, F.col("evidence"), infra, F.col("people_verified"), vault_word))
 
 
 #: Search templates by round, for profiles of a company's people.

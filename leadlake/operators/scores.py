@@ -110,11 +110,11 @@ def evidence_by_field(evidence: DataFrame, session: str = "session_id") -> DataF
     return newest.groupBy(session).agg(F.map_from_entries(F.collect_list(F.struct("field", "e"))).alias("evidence"))
 
 
-def contract(s: dict[str, Column], evidence: Column, infra_failure: Column, people_verified: Column, vault_word: str = "opendb") -> Column:
+def contract(s: dict[str, Column], evidence: Column, infra_failure: Column, people_verified: Column, vault_word: str) -> Column:
     """struct of the evidence contract: which required and recommended fields are met, completeness, confidence and the final state.
 
     s: company_name, domain, description, industry, headquarters, email, company_size, linkedin_url of the session; evidence: map field ->
-    struct(value, status).
+    struct(value, status); vault_word: what a path in the vault holds.
     """
     of = lambda f: F.try_element_at(evidence, F.lit(f))
     value = lambda f, k=None: F.coalesce(X.truthy(of(f)["value"]), X.truthy(s[k]) if k else F.lit(None).cast("string"))
@@ -163,13 +163,15 @@ def priority(words: Column, artifacts: Column, mails: Column, subpages: Column)
     return F.struct(score.alias("score"), F.array_compact(F.array(*[F.when(F.coalesce(h, F.lit(False)), F.lit(r)) for h, _, r in parts])).alias("reasons"))
 
 
-def quality(name: Column, domain: Column, industry: Column, overview: Column, products: Column, hq: Column, size: Column, people: Column, mails: Column) -> Column:
-    """0 to 100 by how much of a company is known. products and people are arrays of names, mails of addresses."""
+def quality(name: Column, domain: Column, industry: Column, overview: Column, products: Column, hq: Column, size: Column, people: Column, mails: Column, placeholder: str | None = None) -> Column:
+    """0 to 100 by how much of a company is known. products and people are arrays of names, mails of addresses; placeholder is a pattern of
+    overviews that the engine itself wrote."""
     low = lambda c: F.lower(_text(c))
     known = lambda c, *bad: (low(c) != "") & ~low(c).isin(*bad)
     dotted = F.contains(F.coalesce(domain, F.lit("")), F.lit("."))
     identity = _if(known(name, "unknown", "home", "index") & dotted, F.when(F.contains(low(name), low(domain)), 10).otherwise(15))
-    text = known(overview, "unknown", "not specified") & ~low(overview).rlike("indexed (?:by|into) opendb")
+    text = known(overview, "unknown", "not specified")
+    text = text & ~low(overview).rlike(placeholder) if placeholder else text
     length = F.length(F.trim(overview))
     prods = F.size(F.filter(products, lambda p: ~F.lower(p).isin("unknown", "none", "web infrastructure", "cloud hosting")))
     staff = F.size(F.filter(people, lambda p: (p != "") & ~F.lower(p).isin("unknown", "none", "executive", "leadership")))

@@ -34,10 +34,10 @@ def test_recrawl(spark):
 
 def test_assembled_contract(spark):
     s = spark.createDataFrame([(1, "d1", "Acme", "acme.io", "We build useful tools for people", "Software"), (2, "d2", "Globex", "globex.com", "short", "")], "id int, document_id string, company_name string, domain string, description string, industry string")
-    d = spark.createDataFrame([("d1", 200, "opendb/a/b"), ("d2", 0, None)], "id string, word_count int, raw_path string")
+    d = spark.createDataFrame([("d1", 200, "vault/a/b"), ("d2", 0, None)], "id string, word_count int, raw_path string")
     e = spark.createDataFrame([(1, "location_region", "Rome", "VERIFIED", 1), (1, "location_region", "Berlin", "VERIFIED", 2)], "session_id int, field string, value string, status string, updated_at int")
     p = spark.createDataFrame([(1, "HIGH_CONFIDENCE")], "session_id int, verification_status string")
-    got = {r.id: r for r in V.evaluate(V.assemble(s, d, e, p)).collect()}
+    got = {r.id: r for r in V.evaluate(V.assemble(s, d, e, p), "vault").collect()}
     assert got[1].contract.state == "VERIFIED" and got[1].evidence["location_region"].value == "Berlin" and got[1].contract.completeness == round(60 + 40 / 70 * 40, 1)
     assert got[2].contract.state == "NEEDS_REVIEW" and got[2].contract.core_passed == 2
 

@@ -117,13 +117,13 @@ def test_contract(spark):
     ev = lambda **k: F.create_map(*[x for f, (v, s) in k.items() for x in (F.lit(f), F.struct(F.lit(v).alias("value"), F.lit(s).alias("status")))])
     base = {"company_name": "Acme", "domain": "www.acme.io", "description": "We build useful tools for people", "industry": "Software", "headquarters": None, "email": None, "company_size": None, "linkedin_url": None}
     s = {k: F.lit(v).cast("string") for k, v in base.items()}
-    full = ev(raw_storage_vault_path=("opendb/x/y", "VERIFIED"), crawled_page_text=("1200 chars", "VERIFIED"), extracted_word_count=("220 words", "VERIFIED"), location_region=("Berlin", "VERIFIED"))
-    v = one(spark, S.contract(s, full, F.lit(False), F.lit(True)))
+    full = ev(raw_storage_vault_path=("vault/x/y", "VERIFIED"), crawled_page_text=("1200 chars", "VERIFIED"), extracted_word_count=("220 words", "VERIFIED"), location_region=("Berlin", "VERIFIED"))
+    v = one(spark, S.contract(s, full, F.lit(False), F.lit(True), "vault"))
     assert (v.state, v.core_passed, v.completeness) == ("VERIFIED", 7, round(60 + 40 / 70 * 40, 1)) and v.missing_recommended == ["verified_contact_email", "company_size_tier", "company_linkedin_url"]
-    part = one(spark, S.contract(s, ev(x=("y", "z")), F.lit(False), F.lit(False)))
+    part = one(spark, S.contract(s, ev(x=("y", "z")), F.lit(False), F.lit(False), "vault"))
     assert (part.state, part.core_passed) == ("PARTIALLY_VERIFIED", 4)
-    assert one(spark, S.contract(s, full, F.lit(True), F.lit(True))).state == "PHASE1_BLOCKED"
-    assert one(spark, S.contract({k: F.lit(None).cast("string") for k in base}, ev(x=("y", "z")), F.lit(False), F.lit(False))).state == "NEEDS_REVIEW"
+    assert one(spark, S.contract(s, full, F.lit(True), F.lit(True), "vault")).state == "PHASE1_BLOCKED"
+    assert one(spark, S.contract({k: F.lit(None).cast("string") for k in base}, ev(x=("y", "z")), F.lit(False), F.lit(False), "vault")).state == "NEEDS_REVIEW"
 
 
 def test_scores(spark):
