@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadlake.functions import text as X
 from leadlake.functions import url as U
@@ -33,7 +34,8 @@ def merge(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, str]
         elif c not in new.columns:
             v = F.col(f"o.{c}")
         else:
-            v = RULES[rules.get(c, "overwrite")](F.col(f"o.{c}"), F.col(f"n.{c}"), matched).cast(kind)
+            v = RULES[rules.get(c, "overwrite")](F.col(f"o.{c}"), F.col(f"n.{c}"), matched)
+            v = v if isinstance(kind, T.MapType) else v.cast(kind)
         if defaults and c in defaults:
             v = F.when(inserted, F.coalesce(v, defaults[c].cast(kind))).otherwise(v)
         out.append(v.alias(c))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from leadlake.functions import text as X
 from leadlake.functions import url as U
+from leadlake.session import kept
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -89,14 +90,14 @@ def first_match(base: DataFrame, lookups: list[tuple[DataFrame, str, str]], key:
 
 
 def people_of_companies(companies: DataFrame, people: DataFrame, name: str, domain: str, company: str, limit: int = 8) -> DataFrame:
-    """companies with people: by the name's key, else people whose company's key starts with the domain's first label (an equi-join on both)."""
+    """companies with people: by the name's key, else people whose company's key contains the domain's first label (of three characters or more)."""
     c = companies.withColumn("_id", F.monotonically_increasing_id()).withColumn("_k", X.company_key(F.col(name))).withColumn("_b", F.lower(F.substring_index(F.col(domain), ".", 1)))
     p = people.withColumn("_pk", X.company_key(F.col(company)))
     entry = F.struct(*people.columns).alias("_p")
     exact = c.join(p, F.col("_k") == F.col("_pk")).select("_id", entry)
     rest = c.join(exact.select("_id").distinct(), "_id", "left_anti").where(F.length("_b") >= 3)
-    words = p.withColumn("_w", F.explode(F.split("_pk", r"\s+"))).where("_w <> ''")
-    loose = rest.join(words, F.col("_b") == F.col("_w")).select("_id", entry)
+    held = containing(rest.select(F.col("_id").alias("needle_id"), F.col("_b").alias("needle")), p.select(F.col("_pk").alias("hay_id"), F.col("_pk").alias("text")).distinct())
+    loose = held.join(p, F.col("hay_id") == F.col("_pk")).select(F.col("needle_id").alias("_id"), entry)
     found = exact.unionByName(loose).groupBy("_id").agg(F.slice(F.array_sort(F.collect_set("_p")), 1, limit).alias("people"))
     return c.join(found, "_id", "left").drop("_id", "_k", "_b")
 
@@ -136,28 +137,84 @@ def duplicates(df: DataFrame, key: str, name: str, host: str) -> DataFrame:
     return out.withColumn("status", F.when(F.coalesce(dup, F.lit(False)), "Duplicate").otherwise("Unique")).select(*df.columns, "status")
 
 
-def resolve(requests: DataFrame, companies: DataFrame, fuzzy_limit: int = 10) -> DataFrame:
+def _grams(text: Column, n: int) -> Column:
+    """The distinct substrings of n characters."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(n)))))
+
+
+def containing(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """needles (needle_id, needle) and hay (hay_id, text) -> the pairs (needle_id, hay_id) whose text contains the needle, wherever in it.
+
+    Equi-joins only: a needle is looked for by its rarest run of three characters (all of it, if it is shorter), the texts that hold that run are
+    then tested. An empty needle is in no text."""
+    found = []
+    for n in (1, 2, 3):
+        size = F.length("needle")
+        some = needles.where(size == n if n < 3 else size >= n)
+        held = hay.select("hay_id", "text", F.explode(_grams(F.col("text"), n)).alias("gram"))
+        counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        asked = some.select("needle_id", "needle", F.explode(_grams(F.col("needle"), n)).alias("gram")).join(counts, "gram")
+        rare = asked.groupBy("needle_id", "needle").agg(F.min(F.struct("n", "gram")).alias("r")).select("needle_id", "needle", F.col("r.gram").alias("gram"))
+        found.append(rare.join(held, "gram").where(F.contains("text", "needle")).select("needle_id", "hay_id"))
+    return reduce(lambda a, b: a.unionByName(b), found).distinct()
+
+
+#: Most candidates shown of one request, of hits by containment.
+SHOWN, FUZZY = 8, 10
+
+
+def resolve(requests: DataFrame, companies: DataFrame, web: DataFrame | None = None, failed: DataFrame | None = None, blocked: DataFrame | None = None) -> DataFrame:
     """requests (request_id, company_name, domain) against companies (id, canonical_name, legal_name, primary_domain): status and candidates.
 
-    Exact keys first (domain, names as given and as keys); names that merely contain the request are looked for only where those find
-    nothing, by words that both hold."""
-    r = requests.withColumn("_key", X.company_key(F.col("company_name"))).withColumn("_dom", U.root_domain(F.col("domain")))
+    The first look-up that finds anything decides: by domain; by name, as given or without legal forms, against names and legal names; by
+    containment of either form in name, legal name or domain. One candidate a root domain makes EXISTING, more make AMBIGUOUS. Requests that find
+    nothing take web hits (request_id, rank, url, title) of public hosts that are not in blocked (domain): UNIQUE, AMBIGUOUS, or, for
+    requests in failed (request_id) without hits, RESOLUTION_RETRY_PENDING; else NOT_FOUND. A name that ilike would take as a pattern
+    is taken as it is, and the shown candidates are the first in order."""
+    name = F.trim("company_name")
+    own = F.when(F.contains(name, F.lit(".")), U.root_domain(name))
+    r = requests.withColumn("_key", X.company_key(name)).withColumn("_low", F.lower(name)).withColumn("_dom", F.coalesce(X.truthy(U.root_domain(F.col("domain"))), X.truthy(own)))
     c = companies.withColumn("_root", U.root_domain(F.col("primary_domain")))
-    hit = F.struct(F.col("id"), F.col("canonical_name"), F.col("primary_domain"))
-    by_domain = r.where("_dom <> ''").join(c, F.col("_dom") == F.col("_root")).select("request_id", hit.alias("hit"))
-    names = c.select(F.explode(F.array_distinct(F.array_compact(F.array(F.lower("canonical_name"), F.lower("legal_name"), X.company_key(F.col("canonical_name")))))).alias("_n"), hit.alias("hit"))
-    asked = r.select("request_id", F.explode(F.array_distinct(F.array(F.lower(F.trim("company_name")), F.col("_key")))).alias("_n"))
-    exact = by_domain.unionByName(asked.join(names, "_n").select("request_id", "hit")).distinct()
-    open_ = r.join(exact.select("request_id").distinct(), "request_id", "left_anti")
-    words = lambda col: F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3)
-    a = open_.select("request_id", F.col("_key").alias("_asked"), F.explode(F.slice(words("company_name"), 1, 1)).alias("_w"))
-    b = c.select(F.explode(F.array_distinct(words("canonical_name"))).alias("_w"), hit.alias("hit"), F.lower("canonical_name").alias("_name"))
-    fuzzy = a.join(b, "_w").where(F.contains("_name", F.col("_asked"))).select("request_id", "hit").distinct()
-    found = exact.unionByName(fuzzy).groupBy("request_id").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
-    out = r.join(found, "request_id", "left")
-    n = F.coalesce(F.size("hits"), F.lit(0))
-    status = F.when(n == 1, "EXISTING").when(n > 1, "AMBIGUOUS").otherwise("NOT_FOUND")
-    return out.select("request_id", "company_name", status.alias("status"), F.slice("hits", 1, min(8, fuzzy_limit)).alias("candidates"))
+    hit = F.struct(F.col("id"), F.col("canonical_name"), F.col("primary_domain"), F.col("_root").alias("root"))
+    by_domain = r.where("_dom <> ''").join(c, F.col("_dom") == F.col("_root")).select("request_id", F.lit(0).alias("turn"), hit.alias("hit"))
+    names = c.select(F.explode(F.array_distinct(F.array_compact(F.array(F.lower("canonical_name"), F.lower("legal_name"))))).alias("_n"), hit.alias("hit"))
+    asked = r.select("request_id", F.explode(F.array_distinct(F.array("_low", "_key"))).alias("_n")).where("_n <> ''")
+    exact = by_domain.unionByName(asked.join(names, "_n").select("request_id", F.lit(1).alias("turn"), "hit"))
+    open_ = asked.join(exact.select("request_id").distinct(), "request_id", "left_anti").select(F.col("request_id").alias("needle_id"), F.col("_n").alias("needle"))
+    fields = F.array_distinct(F.array_compact(F.array(F.lower("canonical_name"), F.lower("primary_domain"), F.lower("legal_name"))))
+    hay = c.select(F.col("id").alias("hay_id"), F.explode(fields).alias("text"))
+    loose = containing(open_, hay).join(c.select(F.col("id").alias("hay_id"), hit.alias("hit")), "hay_id").select(F.col("needle_id").alias("request_id"), F.lit(2).alias("turn"), "hit")
+    found = exact.unionByName(loose).distinct()
+    first = found.groupBy("request_id").agg(F.min("turn").alias("turn"))
+    found = found.join(first, ["request_id", "turn"])
+    # one candidate a root domain, as far as it has one
+    found = found.groupBy("request_id", F.coalesce(X.truthy(F.col("hit.root")), F.concat(F.lit("#"), F.col("hit.id").cast("string"))).alias("_r")).agg(F.max("hit").alias("hit"))
+    known = found.groupBy("request_id").agg(F.count(F.lit(1)).alias("known"), F.slice(F.array_sort(F.collect_set(F.struct("hit.id", "hit.canonical_name", "hit.primary_domain"))), 1, SHOWN).alias("hits"))
+    out = r.join(known, "request_id", "left").withColumn("known", F.coalesce("known", F.lit(0)))
+    n, status = F.col("known"), F.when(F.col("known") == 1, "EXISTING").when(F.col("known") > 1, "AMBIGUOUS")
+    if web is None:
+        return out.select("request_id", "company_name", status.otherwise("NOT_FOUND").alias("status"), F.col("hits").alias("candidates"))
+    w = web.withColumn("_h", U.host(F.col("url"))).where((F.col("_h") != "") & ~U.private_host(F.col("_h"))).withColumn("_root", U.root_domain(F.col("_h"))).where("_root <> ''")
+    w = w.groupBy("request_id", "_root").agg(F.min_by("title", "rank").alias("title"), F.min("rank").alias("rank"))
+    if blocked is not None:
+        w = w.join(blocked.select(F.lower("domain").alias("_root")).distinct(), "_root", "left_anti")
+    title = F.coalesce(X.truthy(F.col("title")), F.initcap(F.substring_index("_root", ".", 1)))
+    seen = w.groupBy("request_id").agg(F.count(F.lit(1)).alias("on_web"), F.slice(F.array_sort(F.collect_list(F.struct("rank", title.alias("canonical_name"), F.col("_root").alias("domain")))), 1, SHOWN).alias("web_hits"))
+    out = out.join(seen, "request_id", "left").withColumn("on_web", F.coalesce("on_web", F.lit(0)))
+    lost = F.lit(False)
+    if failed is not None:
+        out = out.join(failed.select("request_id").distinct().withColumn("_failed", F.lit(True)), "request_id", "left")
+        lost = F.coalesce("_failed", F.lit(False))
+    seen_status = F.when(F.col("on_web") == 1, "UNIQUE").when(F.col("on_web") > 1, "AMBIGUOUS").when(lost, "RESOLUTION_RETRY_PENDING").otherwise("NOT_FOUND")
+    return out.select("request_id", "company_name", F.coalesce(status, seen_status).alias("status"), F.col("hits").alias("candidates"), F.when(n == 0, F.col("web_hits")).alias("web_candidates"))
+
+
+def request_error(company_name: Column, domain: Column | None = None) -> Column:
+    """What is wrong with a request, null if nothing is: names have 2 to 200 characters, domains a dot."""
+    n = F.length(F.trim(F.coalesce(company_name, F.lit(""))))
+    e = F.when(n < 2, "company_name must be at least 2 characters").when(n > 200, "company_name must be under 200 characters")
+    return e if domain is None else e.when(~F.contains(F.replace(F.lower(F.trim(F.coalesce(domain, F.lit("")))), F.lit("www."), F.lit("")), F.lit(".")), "domain must be a valid domain name")
 
 
 def investigate(requests: DataFrame, sessions: DataFrame, as_of, running: list[str]) -> DataFrame:
@@ -169,30 +226,114 @@ def investigate(requests: DataFrame, sessions: DataFrame, as_of, running: list[s
     return j.select("request_id", "domain", d.alias("decision"), F.when(d == "AGENT1_QUEUED", 9).alias("priority"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """Exact cosine top-k of a small table of queries (query_id, query): one scan, each task keeps k rows for each query before the shuffle."""
-    from leadlake.functions.facts import cosine
-
-    q = [r.asDict() for r in queries.select("query_id", "query").limit(257).collect()]
-    if len(q) > 256:
-        raise ValueError("at most 256 queries at once")
-    each = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.array(*[F.lit(float(x)) for x in r["query"]]).alias("query")) for r in q])
-    s = vectors.select(key, embedding, F.explode(each).alias("q")).select(key, F.col("q.query_id").alias("query_id"), F.round(cosine(F.col(embedding), F.col("q.query")), 6).alias("score"))
-    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key))
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def top_k_approximate(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", embedding: str = "embedding", bucket: float = 0.5, tables: int = 8) -> DataFrame:
-    """Approximate top-k of one query by random projections of unit vectors; the caller measures recall."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    unit = Normalizer(inputCol="_v", outputCol="unit").transform(vectors.withColumn("_v", array_to_vector(F.col(embedding).cast("array<double>"))))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=7).fit(unit)
-    norm = sum(x * x for x in query) ** 0.5
-    near = model.approxNearestNeighbors(unit, Vectors.dense([x / norm for x in query]), k)
-    return near.select(key, F.round(1 - F.col("distCol") ** 2 / 2, 6).alias("score"))
+#: Rows of vectors and queries that meet at once, in one matrix product; sizes of tasks depend on it, results don't.
+BLOCK = 2048
+#: The approximate index: cells, vectors of a sample of bounded size that they are learned from, queries and recall that the probes are chosen by.
+CELLS, SAMPLE, TRIED, RECALL = 32, 8192, 256, 0.95
+
+
+def _packed(rows: DataFrame, cell: str, number: Column, key: str, vector: str, keys: str, values: str) -> DataFrame:
+    """rows packed by (cell, number): one row with the keys and one long array of the vectors' numbers."""
+    g = rows.groupBy(F.col(cell).alias("cell"), number.alias("_no")).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))).alias("p"))
+    return g.select("cell", F.col("p.k").alias(keys), F.flatten("p.v").alias(values))
+
+
+def _block_best(k: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(b.num_rows):
+                keys, ids = b.column("keys")[i].values, b.column("ids")[i].values
+                v, q = (b.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(n, -1) for c, n in (("rows", len(keys)), ("vectors", len(ids))))
+                norm = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :]
+                score = np.where(norm > 0, np.round(q @ v.T / np.where(norm > 0, norm, 1.0), 6), -2.0)  # a zero vector is like none
+                most = min(k, len(keys))
+                least = np.partition(score, -most, axis=1)[:, -most]
+                at, col = np.nonzero((score >= least[:, None]) & (score >= -1.0))
+                value, key = score[at, col], keys.take(pa.array(col))
+                order = np.lexsort((key.to_numpy(zero_copy_only=False), -value, at))
+                at, value = at[order], value[order]
+                starts = np.searchsorted(at, at, "left")
+                few = np.arange(len(at)) - starts < k  # of equal scores the least keys
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[few])), key.take(pa.array(order[few])), pa.array(value[few])], names=["query_id", "key", "score"])
+
+    return run
+
+
+def _best(packs: DataFrame, blocks: DataFrame, k: int, key: str) -> DataFrame:
+    """The k best of each query over the pairs of packs (cell, keys, rows) and blocks (cell, ids, vectors) of one cell."""
+    kind = lambda df, c: df.schema[c].dataType.elementType.simpleString()
+    met = packs.join(blocks, "cell").select("keys", "rows", "ids", "vectors")
+    some = met.mapInArrow(_block_best(k), f"query_id {kind(blocks, 'ids')}, key {kind(packs, 'keys')}, score double")
+    some = some.withColumnRenamed("key", key)
+    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), key)
+    return some.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """Exact cosine top-k of queries (query_id, query), as many as there are, against all vectors: query_id, key, score, rank.
+
+    Both sides are dealt to packs by hash; each pack of vectors meets each block of queries once, in a matrix product that keeps k rows for each
+    query. Packs find blocks by an equi-join on the block's number, so no task holds a side. The driver sees two counts."""
+    n_blocks, n_packs = (max(1, -(-df.count() // block)) for df in (queries, vectors))
+    q = queries.where("query_id is not null").withColumn("_c", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+    blocks = _packed(q, "_c", F.lit(0), "query_id", "query", "ids", "vectors")
+    v = vectors.withColumn("_c", F.pmod(F.xxhash64(key), F.lit(n_packs)))
+    packs = _packed(v, "_c", F.lit(0), key, embedding, "keys", "rows").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")))
+    return _best(packs, blocks, k, key)
+
+
+def _cells(centres):
+    """Adds, to rows with an array `v`, the cells of the nearest centres of its direction, nearest first."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, centres.shape[1]))
+            near = np.argsort(-(v @ centres.T), axis=1, kind="stable").astype(np.int64)
+            ends = np.arange(0, near.size + 1, centres.shape[0], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("v"), pa.ListArray.from_arrays(pa.array(ends), pa.array(near.ravel()))], names=["k", "v", "near"])
+
+    return run
+
+
+def top_k_approximate(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding", cells: int = CELLS, probes: int | None = None, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+    """Approximate cosine top-k of queries (query_id, query): an inverted file. Centres are learned by spherical k-means from a sample of at
+    most `sample` vectors, every vector goes to its nearest centre's cell, a query looks into the cells nearest to it: `probes`, or as many as find
+    RECALL of the true neighbours inside the sample, so that vectors without clusters get more of them. The caller measures recall."""
+    import numpy as np
+
+    rows = vectors.select(F.col(key).alias("k"), F.col(embedding).cast("array<double>").alias("v")).where("k is not null and size(v) > 0")
+    some = np.array([r.v for r in rows.orderBy(F.xxhash64("k"), "k").limit(sample).collect()], np.float64)
+    if not len(some):
+        return top_k(vectors, queries, k, key, embedding)
+    some /= np.maximum(np.sqrt((some**2).sum(axis=1, keepdims=True)), 1e-12)
+    centres = some[np.linspace(0, len(some) - 1, min(cells, len(some))).astype(int)]
+    for _ in range(12):
+        own = np.argmax(some @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, some)
+        size = np.sqrt((sums**2).sum(axis=1, keepdims=True))
+        centres = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), centres)
+    if probes is None:
+        tried = some[:: max(1, len(some) // TRIED)][:TRIED]
+        true = np.argsort(-(tried @ some.T), axis=1, kind="stable")[:, : k + 1]
+        place = np.argsort(np.argsort(-(tried @ centres.T), axis=1, kind="stable"), axis=1)
+        own = np.argmax(some @ centres.T, axis=1)
+        needed = np.sort(np.take_along_axis(place, own[true], axis=1).ravel())
+        probes = int(needed[min(len(needed) - 1, int(RECALL * len(needed)))]) + 1
+    schema = lambda df: f"k {df.schema['k'].dataType.simpleString()}, v array<double>, near array<long>"
+    v = rows.mapInArrow(_cells(centres), schema(rows)).select("k", "v", F.col("near")[0].alias("c"))
+    asked = queries.select(F.col("query_id").alias("k"), F.col("query").cast("array<double>").alias("v")).where("k is not null")
+    q = asked.mapInArrow(_cells(centres), schema(asked)).select("k", "v", F.explode(F.slice("near", 1, probes)).alias("c"))
+    n_packs, n_blocks = (max(1, -(-df.count() // (block * cells // 2))) for df in (vectors, queries))
+    packs = _packed(v, "c", F.pmod(F.xxhash64("k"), F.lit(n_packs)), "k", "v", "keys", "rows")
+    blocks = _packed(q, "c", F.pmod(F.xxhash64("k"), F.lit(n_blocks)), "k", "v", "ids", "vectors")
+    return _best(packs, blocks, k, key)
 
 
 def crawl_frontier(seeds: DataFrame, links: DataFrame, rounds: int, per_page: int = 5) -> DataFrame:
@@ -204,7 +345,8 @@ def crawl_frontier(seeds: DataFrame, links: DataFrame, rounds: int, per_page: in
         w = W.partitionBy("src", (F.col("score") == 2)).orderBy("score", "dst")
         out = links.join(edge.select(F.col("url").alias("src")), "src").where(U.same_site(F.col("dst"), F.col("src")))
         out = out.withColumn("_n", F.row_number().over(w)).where((F.col("score") < 2) | (F.col("_n") <= per_page))
-        edge = out.select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(d)).checkpoint()
+        edge = out.select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(d))
+        edge = kept(edge, "frontier")
         seen = seen.unionByName(edge)
     return seen
 

@@ -91,6 +91,20 @@ def discovery_queries(taxonomy: DataFrame, places: list[str], intents: list[str]
     return taxonomy.withColumn("query", q)
 
 
+#: Templates of searches for listings, and for what is like an entity.
+LISTING_TEMPLATES = ["list of emerging {keyword} startups", "top {keyword} startups {geo}", "early stage {keyword} companies {geo}", "{keyword} startups official website", "promising {keyword} startups {years}", "{keyword} innovation startups {geo}"]
+EXPANSION_TEMPLATES = ["{name} competitors", "companies like {name}", "{name} alternatives", "{domain} companies similar to {name}", "{name} industry peers"]
+
+
+def templated(rows: DataFrame, templates: list[str], **values: Column) -> DataFrame:
+    """rows times the templates: place and query, {name} in a template replaced by the value of that name."""
+    out = rows.select("*", F.posexplode(F.array(*map(F.lit, templates))).alias("place", "_t"))
+    text = F.col("_t")
+    for k, v in values.items():
+        text = F.replace(text, F.lit("{" + k + "}"), F.coalesce(v, F.lit("")))
+    return out.withColumn("query", F.trim(text)).drop("_t")
+
+
 def schema_of(doc: dict) -> T.StructType:
     """A JSON-Schema object as a Spark schema: arrays of texts, numbers and truth values keep their type, mixed types are text."""
     simple = {"integer": T.LongType(), "number": T.DoubleType(), "boolean": T.BooleanType()}
@@ -114,7 +128,7 @@ class SchemaRegistry:
         self.schemas: dict[str, dict] = {}
 
     def load(self, spark: SparkSession, folder: str) -> SchemaRegistry:
-        for r in spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").limit(10_000).collect():
+        for r in spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").toLocalIterator():
             doc = json.loads(r.value)
             if doc.get("domain"):
                 self.schemas[doc["domain"].lower()] = doc
