@@ -76,16 +76,6 @@ def inferred_sectors(t):
     return t("documents").select("doc_id", V.inferred_sector(none, x).alias("sector"), V.inferred_location(F.lit("https://x.com"), F.substring_index(x, "\n", 1)).alias("place"))
 
 
-@query("session_contracts")
-def session_contracts(t):
-    """The evidence contract over sessions made of orders and lines; its rules are held against sums by hand in the tests."""
-    o = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("document_id"), F.concat(F.lit("Company "), F.col("o_custkey").cast("string")).alias("company_name"), F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit(".io")).alias("domain"), F.repeat(F.col("o_orderpriority"), 4).alias("description"), F.lit("Software").alias("industry"))
-    d = t("customer").select(F.col("c_custkey").alias("id"), F.greatest(F.lit(0), F.round("c_acctbal")).cast("int").alias("word_count"), F.concat(F.lit("opendb/raw/"), F.col("c_custkey").cast("string")).alias("raw_path"))
-    e = t("lineitem").select(F.col("l_orderkey").alias("session_id"), F.when(F.col("l_returnflag") == "A", "location_region").when(F.col("l_returnflag") == "N", "company_size_tier").otherwise("verified_contact_email").alias("field"), F.concat(F.col("l_linenumber").cast("string"), F.lit("@x")).alias("value"), F.lit("VERIFIED").alias("status"), F.col("l_shipdate").alias("updated_at"))
-    p = t("lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("session_id"), F.lit("VERIFIED").alias("verification_status"))
-    return V.evaluate(V.assemble(o, d, e, p)).select(F.col("id").alias("session_id"), F.col("contract.state").alias("state"), F.col("contract.completeness").alias("completeness"))
-
-
 @query("host_roots", f"SELECT {_HOST} AS host, {_ROOT} AS safety_domain, count(*) AS pages FROM pages GROUP BY ALL")
 def host_roots(t):
     return t("pages").groupBy(U.host(F.col("url")).alias("host"), U.safety_domain(F.col("url")).alias("safety_domain")).agg(F.count(F.lit(1)).alias("pages"))
