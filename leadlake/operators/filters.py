@@ -5,13 +5,16 @@ Lists that grow with use (blocked hosts) are tables or parameters; the lists bel
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.functions import html as H
 from leadlake.functions import text as X
 from leadlake.functions import url as U
-from leadlake.operators.ladder import Rule, first_of, first_word, fold, says
+from leadlake.operators.ladder import Rule, first_of, first_word, fold, let, says
 
 MIN_WORDS, MIN_TITLE, MAX_URL, MIN_CONFIDENCE = 15, 3, 500, 0.30
 
@@ -142,9 +145,9 @@ FIELD_NEEDS = {
 
 
 def disallowed_category(c: Column) -> Column:
-    """The first category with a word in the text (plain substrings), null if none."""
-    low = F.lower(c)
-    return F.coalesce(*[F.when(low.rlike(U.quoted(words)), F.lit(name)) for name, words in DISALLOWED.items()])
+    """The first category with a word in the text (plain substrings), null if none. The text is lowered once."""
+    any_of = lambda low, words: reduce(or_, [F.contains(low, F.lit(w)) for w in words])
+    return let(F.lower(c), lambda low: F.coalesce(*[F.when(any_of(low, words), F.lit(name)) for name, words in DISALLOWED.items()]))
 
 
 def url_rules(url: Column, blocked: Column | None = None, blacklisted: list[str] | None = None) -> list[Rule]:
@@ -258,23 +261,32 @@ def classify_url(url: Column) -> Column:
 
 
 def classify_page(url: Column, html: Column, text: Column) -> Column:
-    """struct(kind, confidence): by address, else by signals of links, words and title."""
-    by_url = classify_url(url)
+    """struct(kind, confidence): by address, else by signals of links, words and title. What the signals share is made once."""
     hrefs = F.regexp_extract_all(html, F.lit(r"""(?i)href=["']([^"']+)["']"""), F.lit(1))
-    away = F.size(F.filter(hrefs, lambda h: F.startswith(h, F.lit("http")) & (U.authority(h) != U.authority(url))))
-    low, title = F.lower(text), F.lower(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    has_html, has_text, has_title = (F.coalesce(c, F.lit(False)) for c in (html != "", text != "", html.rlike(r"(?is)<title[^>]*>.*?</title>")))
-    count = lambda words: sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
+    away = let(U.authority(url), lambda own: F.size(F.filter(hrefs, lambda h: F.startswith(h, F.lit("http")) & (U.authority(h) != own))))
+    title = F.lower(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    some = lambda c: F.coalesce(c, F.lit(False))
+    count = lambda low, words: sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
     steps = lambda c, two, one: F.when(c >= two, 2).when(c >= one, 1).otherwise(0)
-    lists, owns = count(LISTING_WORDS), count(ENTITY_WORDS)
-    hit = F.when(has_html, steps(away, 21, 11)).otherwise(0) + F.when(has_text, steps(lists, 3, 1) + F.when(owns == 0, 1).otherwise(0)).otherwise(0)
-    hit = hit + F.when(has_title & title.rlike("|".join(LISTING_TITLES)), 1).otherwise(0)
-    total = F.when(has_html, 2).otherwise(0) + F.when(has_text, 2 + steps(owns, 3, 1)).otherwise(0) + has_title.cast("int")
-    ratio = hit / F.greatest(total, F.lit(1))
-    sure = F.least(F.lit(0.95), 0.6 + F.abs(ratio - 0.5) * 0.6)
-    kind = F.when(by_url != "unknown", by_url).when(total == 0, "entity").when(ratio >= 0.5, "listing").otherwise("entity")
-    confidence = F.when(by_url == "listing", 0.95).when(by_url == "entity", 0.90).when(total == 0, 0.5).otherwise(sure)
-    return F.struct(kind.alias("kind"), confidence.alias("confidence"))
+    words = let(F.lower(text), lambda low: F.struct(count(low, LISTING_WORDS).alias("lists"), count(low, ENTITY_WORDS).alias("owns")))
+    seen = F.struct(
+        some(html != "").alias("html"), some(text != "").alias("text"), some(html.rlike(r"(?is)<title[^>]*>.*?</title>")).alias("titled"),
+        away.alias("away"), words.alias("w"), some(title.rlike("|".join(LISTING_TITLES))).alias("listed"),
+    )
+
+    def by_signals(s: Column) -> Column:
+        lists, owns = s["w"]["lists"], s["w"]["owns"]
+        hit = F.when(s["html"], steps(s["away"], 21, 11)).otherwise(0) + F.when(s["text"], steps(lists, 3, 1) + F.when(owns == 0, 1).otherwise(0)).otherwise(0)
+        hit = hit + F.when(s["titled"] & s["listed"], 1).otherwise(0)
+        total = F.when(s["html"], 2).otherwise(0) + F.when(s["text"], 2 + steps(owns, 3, 1)).otherwise(0) + s["titled"].cast("int")
+        ratio = lambda t: t["hit"] / F.greatest(t["total"], F.lit(1))
+        sure = lambda t: F.least(F.lit(0.95), 0.6 + F.abs(ratio(t) - 0.5) * 0.6)
+        return let(F.struct(hit.alias("hit"), total.alias("total")), lambda t: F.struct(
+            F.when(t["total"] == 0, "entity").when(ratio(t) >= 0.5, "listing").otherwise("entity").alias("kind"), F.when(t["total"] == 0, F.lit(0.5)).otherwise(sure(t)).alias("confidence"),
+        ))
+
+    of = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("confidence"))
+    return let(classify_url(url), lambda by: F.when(by == "listing", of("listing", 0.95)).when(by == "entity", of("entity", 0.90)).otherwise(let(seen, by_signals)))
 
 
 def media_or_blog(name: Column, description: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -17,11 +17,27 @@ class Rule(NamedTuple):
     reason: Column | str
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value made once, however often body looks at it. It is evaluated as a lambda, so it can't outgrow a JVM method."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold(rules: Iterable[Rule]) -> Column:
-    """struct(keep, rule_id, reason). An array of candidates rather than one long CASE, which can outgrow a JVM method."""
-    rows = [F.struct(F.coalesce(r.hit, F.lit(False)).alias("hit"), F.lit(r.id).alias("rule_id"), (F.lit(r.reason) if isinstance(r.reason, str) else r.reason).alias("reason")) for r in rules]
-    first = F.try_element_at(F.filter(F.array(*rows), lambda x: x["hit"]), F.lit(1))
-    return F.struct(first.isNull().alias("keep"), F.coalesce(first["rule_id"], F.lit("OK")).alias("rule_id"), F.coalesce(first["reason"], F.lit("OK")).alias("reason"))
+    """struct(keep, rule_id, reason) of the first rule that hits. Rules after it are not evaluated, reasons only for it."""
+    rules = list(rules)
+    place = F.lit(0)
+    for n in range(len(rules), 0, -1):
+        place = F.when(rules[n - 1].hit, n).otherwise(place)
+    reasons = [F.lit(r.reason) if isinstance(r.reason, str) else r.reason for r in rules]
+
+    def verdict(at: Column) -> Column:
+        reason = F.lit("OK")
+        for n in range(len(rules), 0, -1):
+            reason = F.when(at == n, reasons[n - 1]).otherwise(reason)
+        ids = F.array(F.lit("OK"), *[F.lit(r.id) for r in rules])
+        return F.struct((at == 0).alias("keep"), F.get(ids, at).alias("rule_id"), F.coalesce(reason, F.lit("OK")).alias("reason"))
+
+    return let(place, verdict)
 
 
 def says(text: str, *values: Column) -> Column:

@@ -195,8 +195,8 @@ def listing_pages(t):
 def domain_pages(t):
     """Pages by registrable domain: one aggregation."""
     p = R.page_columns(t("pages"))
-    v = R.filter_content(F.col("text"), F.col("title"), F.col("words"))["keep"]
-    return p.groupBy("domain").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("host").alias("hosts"), F.sum("words").alias("words"), F.count_if(v).alias("kept"), F.max("page_id").alias("newest_page"))
+    p = p.withColumn("keep", R.filter_content(F.col("text"), F.col("title"), F.col("words"))["keep"])
+    return p.groupBy("domain").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("host").alias("hosts"), F.sum("words").alias("words"), F.count_if("keep").alias("kept"), F.max("page_id").alias("newest_page"))
 
 
 @query("page_language", r"""SELECT page_id, nullif(substring(split_part(lower(trim(regexp_extract(html, '(?is)<html\b[^>]*?\blang\s*=\s*["'']([^"'']*)["'']', 1))), '-', 1), 1, 10), '') AS language, nullif(string_split(path, '/')[2], '') AS first_folder
