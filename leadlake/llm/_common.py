@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,21 +27,81 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_OPEN = threading.local()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/leadlake-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/leadlake-{name}-{uuid.uuid4().hex}"
+    if getattr(_OPEN, "scopes", None):
+        _OPEN.scopes[-1].append(path)
+    return path
+
+
+def _reads(df: DataFrame) -> str:
+    """The folders that df's plan reads."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            out += [roots.apply(k).toString() for k in range(roots.size())]
+    return "\n".join(out)
+
+
+def tidy(f):
+    """f, which returns a DataFrame, with its scratch tables removed at its end, except those that the result still reads."""
+
+    @functools.wraps(f)
+    def run(*args, **kw):
+        if not hasattr(_OPEN, "scopes"):
+            _OPEN.scopes = []
+        _OPEN.scopes.append([])
+        try:
+            out = f(*args, **kw)
+        finally:
+            made = _OPEN.scopes.pop()
+        needed, spark = _reads(out), out.sparkSession
+        for path in made:
+            if path.rpartition("/")[2] in needed:
+                if _OPEN.scopes:
+                    _OPEN.scopes[-1].append(path)
+            else:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        return out
+
+    return run
 
 
-def cut(df: DataFrame, name: str = "cut", **options: str) -> DataFrame:
-    """Write df as a table in the shared folder and return its reader: the lineage ends here, a lost executor costs no recomputation, and its size is known to the planner."""
+def cut(df: DataFrame, name: str = "cut", files: int | None = None, **options: str) -> DataFrame:
+    """Write df as a table in the shared folder and return its reader: the lineage ends here, a lost executor costs no recomputation, and its size is
+    known to the planner. files: how many files suit its light rows (see tasks), so that small tables are not one file for each shuffle partition."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    w = df.write
+    w = (df.coalesce(files) if files else df).write
     for k, v in options.items():
         w = w.option(k, v)
     w.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs with all its columns in one struct `row`, so that no name of theirs clashes with the further columns."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """name, or with as many underscores before it as make it no column of docs."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
+def number() -> Column:
+    """doc_id as a long."""
+    return F.col("doc_id").cast("long")
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -59,6 +121,7 @@ def _runner(key: str | None, value: str):
         import pyarrow as pa
         from pyspark import TaskContext
 
+        lean()
         part = TaskContext.get().partitionId()
         last, rank, total = object(), 0, 0
         for b in batches:
@@ -103,9 +166,8 @@ def prefix(df: DataFrame, order: list[str], value: str, key: str | None = None,
     sums its own run; one row for each (key, task) then gives the offsets. df must be light and cheap to read (it is sampled for the ranges);
     key and value hold no nulls.
     """
-    spark = df.sparkSession
     by = ([key] if key else []) + order
-    ranged = df.repartitionByRange(parts(spark), *by).sortWithinPartitions(*by)
+    ranged = df.repartitionByRange(tasks(df), *by).sortWithinPartitions(*by)
     schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_rank", T.LongType()), T.StructField("_before", T.LongType())])
     local = cut(ranged.mapInArrow(_runner(key, value), schema), f"{name}-local")
     k = [key] if key else []
@@ -114,7 +176,7 @@ def prefix(df: DataFrame, order: list[str], value: str, key: str | None = None,
     totals = local.groupBy("_part", *k).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
     w = W.partitionBy(*k).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select("_part", *k, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_s0"))
-    totals = cut(totals.coalesce(1) if not k else totals, f"{name}-offsets")
+    totals = cut(totals, f"{name}-offsets", tasks(local))
     out = local.join(totals, ["_part", *k])
     return out.select(*df.columns, (F.col("_rank") + F.col("_n0")).alias("_rank"), (F.col("_before") + F.col("_s0")).alias("_before"))
 
@@ -124,14 +186,45 @@ FILTER_BITS = 24
 
 
 def bitmap(hashes: DataFrame, col: str) -> DataFrame:
-    """A bitmap of the longs in col, folded to FILTER_BITS: at most 2**FILTER_BITS / 32768 rows of 4 KB."""
+    """A bitmap of the longs in col, folded to FILTER_BITS: at most 2**FILTER_BITS / 32768 rows of 1024 numbers of 32 bits."""
     p = hashes.select((F.pmod(F.col(col), F.lit(1 << FILTER_BITS)) + 1).alias("p"))
-    return p.groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    bits = p.groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("b"))
+    return bits.select("_bucket", F.expr("transform(sequence(0, 1023), i -> cast(conv(hex(substring(b, i * 4 + 1, 4)), 16, 10) as bigint))").alias("_bits"))
 
 
-def maybe_in(rows: DataFrame, col: str, bits: DataFrame) -> DataFrame:
-    """Rows whose col may be in the bitmap; the broadcast side is bounded by FILTER_BITS."""
+def maybe_in(rows: DataFrame, col: str, bits: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows whose col may be in the bitmap, or those whose col is not in it; the broadcast side is bounded by FILTER_BITS."""
     p = F.pmod(F.col(col), F.lit(1 << FILTER_BITS)) + 1
     probed = rows.withColumn("_bucket", F.bitmap_bucket_number(p)).withColumn("_at", F.bitmap_bit_position(p))
-    hit = F.expr("getbit(cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int), cast(_at % 8 as int)) = 1")
-    return probed.join(F.broadcast(bits), "_bucket").where(hit).drop("_bucket", "_at", "_bits")
+    # bytes stand in a number with the first one on top
+    hit = F.expr("getbit(get(_bits, cast(_at div 32 as int)), cast((3 - _at % 32 div 8) * 8 + _at % 8 as int)) = 1")
+    if inside:
+        return probed.join(F.broadcast(bits), "_bucket").where(hit).drop("_bucket", "_at", "_bits")
+    return probed.join(F.broadcast(bits), "_bucket", "left").where(~F.coalesce(hit, F.lit(False))).drop("_bucket", "_at", "_bits")
+
+
+def lean() -> None:
+    """Called as a task begins in a Python worker, which serves all operators in turn: what tokenizing keeps goes, free memory goes back to the system."""
+    import ctypes
+    import gc
+    import sys
+
+    import pyarrow as pa
+
+    if (tokens := sys.modules.get("leadlake.llm.tokens")) is not None:
+        tokens.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: Light rows that one task writes, about: small tables are then a few files, not one for each shuffle partition.
+LIGHT = 200_000
+
+
+def tasks(table: DataFrame, per: int = LIGHT) -> int:
+    """How many tasks suit the rows of a written table, parts() at most; the count is read from the files' footers."""
+    return max(1, min(parts(table.sparkSession), -(-table.count() // per)))

@@ -4,6 +4,9 @@ The public tokenizer drops white space and never joins what stands on both sides
 order. Each batch is split into words, each distinct word is encoded once, and the ids are gathered with numpy. Words made of letters and
 printable ASCII take the model directly, after the tokenizer's own normalisation and split; every other word takes the whole tokenizer.
 A cache of bounded size carries frequent words from batch to batch. The tests hold the result against plain whole-text encoding.
+
+Defined results: null text is empty; an empty text is END_ID alone; a tokenizer whose ids don't fit 16 bits, or that joins words across white
+space, is refused when it is loaded; a text longer than a chunk is a chunk of its own.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ CHUNK_BYTES = 6 << 20
 #: The tokenizer's split pattern.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: A tokenizer is taken only if it encodes these as the words they are made of.
+PROBES = ["Hello, big world! it's 12 o'clock; naïve café", "  two  spaces\tand\nlines ", "日本語 テスト 😀 ½ Ⅷ ΣΑΣ", "a-b_c/d (e) [f] {g} #1 $2 100% x@y.z", "camelCase UPPER don't we'll they're"]
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -47,6 +53,11 @@ class WordEncoder:
         self.marks = frozenset(".,;:!?")
         self.words: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
+        if self.whole.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path}: ids must fit 16 bits")
+        for t in PROBES:
+            if array("H", self.whole.encode(t, add_special_tokens=False).ids).tobytes() != b"".join(map(self.word, t.split())):
+                raise ValueError(f"{path}: the tokenizer's ids are not those of single words")
 
     def _letters_only(self, low: str) -> bytes:
         """Ids of one lower-case piece."""
@@ -113,6 +124,11 @@ class WordEncoder:
         return out, starts
 
 
+def forget() -> None:
+    """Drops the encoders of this process with their caches."""
+    _ENCODERS.clear()
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
