@@ -2,9 +2,8 @@
 
 One pass over whole texts finds, for each kind, the base spans (the seeds), candidates (looser shapes of the kind that the base does not
 take) and rivals (other words with digits or @), each with its lexical patterns: the words just before and after, digits folded. Spark then
-scores the graph of patterns and instances iteratively: a pattern is worth the share of its occurrences that are seeds or believed
-candidates, a candidate instance the best patterns that it stands in, and so on for a few rounds. Candidates of high-confidence
-patterns become spans. Patterns need several distinct seeds, and rivals count against them.
+scores the graph of patterns and instances in rounds: believed instances make patterns trusted, trusted patterns make candidates believed, and these
+support further patterns in the next round, until a round adds nothing. A believed instance is a span wherever it stands.
 
 Defined results: null text is empty; null or repeated doc_id are rows of their own; base spans of different kinds may overlap, found spans
 overlap nothing; an empty table gives an empty result; other columns are left alone.
@@ -15,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.llm._common import body, cut
+from leadlake.llm._common import body, cut, tasks
 
 KINDS = ("email", "ip", "card", "phone")
-#: A pattern needs this many distinct seed instances, a candidate instance this belief; the graph is scored this many rounds.
-MIN_SEEDS, BELIEF, ROUNDS = 5, 0.8, 3
+#: A pattern needs this many different believed instances and, as a candidate does, this worth.
+MIN_SEEDS, BELIEF = 5, 0.8
 
 #: The base patterns' character classes.
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -36,8 +35,9 @@ def _rx():
         "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
         "digits": re.compile(r"[0-9]+"),
         "any": re.compile(r"[0-9@]|\bdot\b|\[dot\]|\(dot\)", re.IGNORECASE),
-        # looser shapes: numbers in groups, spelt-out addresses, addresses without a dot, octets set apart
-        "like_phone": re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,5}\)?){1,5}(?![0-9A-Za-z])"),
+        # looser shapes: numbers in groups or in one run, spelt-out addresses, addresses without a dot, octets set apart; a local part has at most
+        # 64 characters and a label 63, as the mail standards have it
+        "like_phone": re.compile(r"(?<![0-9A-Za-z+])(?:\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,5}\)?){1,5}|[0-9]{9,15})(?![0-9A-Za-z])"),
         "like_card": re.compile(r"(?<![0-9A-Za-z])[0-9]{3,4}(?:[\x20./_-]{1,2}[0-9]{3,6}){2,5}(?![0-9A-Za-z])"),
         "like_ip": re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\x20?\.\x20?|\[\.\]|\(\.\))[0-9]{1,3}(?:\x20?\.\x20?|\[\.\]|\(\.\))[0-9]{1,3}(?:\x20?\.\x20?|\[\.\]|\(\.\))[0-9]{1,3}(?![0-9A-Za-z])"),
         "like_email": re.compile(
@@ -95,7 +95,25 @@ def _plausible(kind: int, s: str) -> bool:
         import re
 
         return all(int(p) <= 255 for p in re.findall("[0-9]+", s))
-    return 13 <= len(digits) <= 19 if kind == 2 else 9 <= len(digits) <= 12
+    return 13 <= len(digits) <= 19 if kind == 2 else 9 <= len(digits) <= 15
+
+
+def _short(s: str) -> str:
+    """s itself, or a digest of the whole of it if it is long: no two long ones become one, and rows stay small."""
+    import hashlib
+
+    return s if len(s) <= 64 else "#" + hashlib.blake2b(s.encode(), digest_size=16).hexdigest()
+
+
+def _whole_words(text: str, at: int, most: int, before: bool) -> list[str]:
+    """The nearest words (runs without white space) before or after a place, however long they are."""
+    size = 120
+    while True:
+        piece = text[max(0, at - size) : at] if before else text[at : at + size]
+        words = piece.split()
+        if len(piece) < size or len(words) > most or (len(words) == most and (piece[:1] if before else piece[-1:]).isspace()):
+            return words[-most:] if before else words[:most]
+        size *= 4
 
 
 def _context(text: str, start: int, end: int) -> list[str]:
@@ -103,35 +121,54 @@ def _context(text: str, start: int, end: int) -> list[str]:
     import re
 
     def tidy(w: str) -> str:
-        return re.sub("[0-9]+", "0", w.lower())[:40]
+        return _short(re.sub("[0-9]+", "0", w.lower()))
 
-    left = text[max(0, start - 120) : start].split()[-2:]
-    right = text[end : end + 60].split()[:1]
+    left = _whole_words(text, start, 2, True)
+    right = _whole_words(text, end, 1, False)
     one, two = (tidy(left[-1]) if left else "^"), (tidy(left[-2]) if len(left) > 1 else "^")
     after = tidy(right[0]) if right else "$"
     return [f"{two} {one} _", f"{one} _", f"{one} _ {after}"]
 
 
-def places(text: str, rx: dict, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(kind, start, end, what): what is 1 for seeds, 0 for candidates, -1 for rivals (kind -1)."""
-    out = [(k, a, z, 1) for k, a, z in base]
-    taken = sorted((a, z) for _, a, z in base)
+class _Taken:
+    """Disjoint spans in order; spans that overlap are one."""
 
-    def free(a: int, z: int) -> bool:
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, z in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], z)
+            else:
+                self.starts.append(a)
+                self.ends.append(z)
+
+    def free(self, a: int, z: int) -> bool:
+        import bisect
+
+        i = bisect.bisect_left(self.starts, z)
+        return i == 0 or self.ends[i - 1] <= a
+
+    def add(self, a: int, z: int) -> None:
         import bisect
 
-        i = bisect.bisect_left(taken, (z, -1))
-        return all(not (x < z and a < y) for x, y in taken[max(0, i - 3) : i + 1])
+        i = bisect.bisect_left(self.starts, z)
+        self.starts.insert(i, a)
+        self.ends.insert(i, z)
 
+
+def places(text: str, rx: dict, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(kind, start, end, what): what is 1 for seeds, 0 for candidates, -1 for rivals (kind -1). Candidates and rivals overlap nothing."""
+    out = [(k, a, z, 1) for k, a, z in base]
+    taken = _Taken([(a, z) for _, a, z in base])
     for kind, name in ((0, "like_email"), (1, "like_ip"), (2, "like_card"), (3, "like_phone")):
         for m in rx[name].finditer(text):
             a, z = m.span()
-            if free(a, z) and _plausible(kind, m[0]):
+            if taken.free(a, z) and _plausible(kind, m[0]):
                 out.append((kind, a, z, 0))
-                taken.append((a, z))
-                taken.sort()
+                taken.add(a, z)
     for m in rx["token"].finditer(text):
-        if free(*m.span()):
+        if taken.free(*m.span()):
             out.append((-1, *m.span(), -1))
     return out
 
@@ -151,7 +188,7 @@ def _finder(batches):
             base, more = [], []
             if rx["any"].search(text):
                 base = base_spans(text, rx)
-                more = [{"kind": k, "start": a, "end": z, "what": w, "instance": text[a : min(z, a + 200)].lower(), "patterns": _context(text, a, z)} for k, a, z, w in places(text, rx, base)]
+                more = [{"kind": k, "start": a, "end": z, "what": w, "instance": _short(text[a:z].lower()), "patterns": _context(text, a, z)} for k, a, z, w in places(text, rx, base)]
             for k in range(4):
                 counts[k].append(sum(x[0] == k for x in base))
             said = ",".join(f"{KINDS[k]}:{a}:{z}" for k, a, z in base)
@@ -173,29 +210,48 @@ def scan(docs: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(_finder, schema), "pii-scan")
 
 
-def bootstrap(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """row, kind, start, end of the candidates that high-confidence patterns reach."""
-    occ = scanned.select("row", F.explode("places").alias("p")).select("row", "p.*")
-    occ = cut(occ.withColumn("pattern", F.explode("patterns")).drop("patterns"), "pii-graph")
-    seeds = occ.where("what = 1").groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("seeds"), F.approx_count_distinct("instance", 0.05).alias("support")).where(f"support >= {MIN_SEEDS}")
-    rivals = occ.where("what = -1").groupBy("pattern").agg(F.count(F.lit(1)).alias("rivals"))
-    edges = cut(occ.where("what = 0").groupBy("kind", "instance", "pattern").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
-    known = seeds.join(rivals, "pattern", "left").withColumn("rivals", F.coalesce("rivals", F.lit(0)))
-    known = cut(known.join(edges.select("kind", "pattern").distinct(), ["kind", "pattern"], "left_semi"), "pii-patterns")
-    held = cut(edges.join(known, ["kind", "pattern"]), "pii-held")
-    belief = None
-    for _ in range(rounds):
-        now = held.withColumn("belief", F.lit(0.0)) if belief is None else held.join(belief, ["kind", "instance"], "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
-        worth = now.groupBy("kind", "pattern").agg(
-            ((F.first("seeds") + F.sum(F.col("n") * F.col("belief"))) / (F.first("seeds") + F.first("rivals") + F.sum("n"))).alias("worth"),
-        )
-        worth = cut(worth, "pii-worth")
-        # a candidate is believed as far as the mean of its patterns, by occurrence, and its best one
-        scored = held.join(worth, ["kind", "pattern"]).groupBy("kind", "instance").agg(((F.sum(F.col("n") * F.col("worth")) / F.sum("n") + F.max("worth")) / 2).alias("belief"))
-        belief = cut(scored, "pii-belief")
-    good = belief.where(F.col("belief") >= BELIEF).select("kind", "instance")
-    trusted = worth.where(F.col("worth") >= BELIEF).select("kind", "pattern")
-    return occ.where("what = 0").join(good, ["kind", "instance"], "left_semi").join(trusted, ["kind", "pattern"], "left_semi").select("row", "kind", "start", "end").distinct()
+def bootstrap(scanned: DataFrame) -> DataFrame:
+    """row, kind, start, end of the candidates that the bootstrap believes.
+
+    An edge is a place: (kind, instance, pattern, n). In each round the instances believed so far, seeds first, support their patterns; a pattern is
+    worth the share of believed occurrences among them and those that tell against it (rivals, seeds of other kinds), and is trusted from MIN_SEEDS
+    different believed instances and a worth of BELIEF on. A candidate is believed if it stands in a trusted pattern and the mean worth of all its
+    occurrences that any evidence speaks about is BELIEF or more. Belief is never taken back, so the rounds end; they do when one adds nothing.
+    """
+    occ = cut(scanned.select("row", F.explode("places").alias("p")).select("row", "p.*"), "pii-places")
+    n = tasks(occ)
+    seen = occ.withColumn("pattern", F.explode("patterns"))
+    edges = cut(seen.where("what >= 0").groupBy("kind", "instance", "pattern").agg(F.count(F.lit(1)).alias("n"), F.max("what").alias("what")), "pii-edges", n)
+    rivals = seen.where("what = -1").groupBy("pattern").agg(F.count(F.lit(1)).alias("rivals"))
+    # only patterns that candidates stand in, or what they may come to stand in, matter
+    live = edges.where("what = 0").select("pattern").distinct()
+    edges = cut(edges.join(live, "pattern", "left_semi"), "pii-live-edges", n)
+    rivals = cut(rivals.join(live, "pattern", "left_semi"), "pii-rivals", n)
+    seeds = edges.where("what = 1").groupBy("pattern", "kind").agg(F.sum("n").alias("n"))
+    all_seeds = seeds.groupBy("pattern").agg(F.sum("n").alias("all"))
+    others = seeds.join(all_seeds, "pattern").select("pattern", "kind", (F.col("all") - F.col("n")).alias("others"))
+    against = cut(
+        edges.select("kind", "pattern").distinct().join(rivals, "pattern", "left").join(all_seeds, "pattern", "left").join(others, ["pattern", "kind"], "left")
+        .select("kind", "pattern", (F.coalesce("rivals", F.lit(0)) + F.coalesce("others", "all", F.lit(0))).alias("against")),
+        "pii-against", n,
+    )
+    candidates = cut(edges.where("what = 0").select("kind", "instance").distinct(), "pii-candidates", n)
+    believed = cut(edges.where("what = 1").select("kind", "instance").distinct(), "pii-seeds", n)
+    known, turn = believed.count(), 0
+    while True:
+        support = edges.join(believed, ["kind", "instance"], "left_semi").groupBy("kind", "pattern").agg(F.sum("n").alias("pos"), F.count(F.lit(1)).alias("instances"))
+        worth = against.join(support, ["kind", "pattern"], "left").withColumn("pos", F.coalesce("pos", F.lit(0))).where("pos + against > 0")
+        worth = worth.select("kind", "pattern", (F.col("pos") / (F.col("pos") + F.col("against"))).alias("worth"), (F.coalesce("instances", F.lit(0)) >= MIN_SEEDS).alias("firm"))
+        worth = cut(worth, f"pii-worth-{turn}", n)
+        held = edges.join(candidates, ["kind", "instance"], "left_semi").join(worth, ["kind", "pattern"])
+        good = held.groupBy("kind", "instance").agg((F.sum(F.col("n") * F.col("worth")) / F.sum("n")).alias("belief"), F.bool_or(F.col("firm") & (F.col("worth") >= BELIEF)).alias("firm"))
+        good = good.where((F.col("belief") >= BELIEF) & F.col("firm")).select("kind", "instance")
+        believed = cut(believed.union(good).distinct(), f"pii-believed-{turn}", n)
+        now, turn = believed.count(), turn + 1
+        if now == known:
+            break
+        known = now
+    return occ.where("what = 0").join(believed, ["kind", "instance"], "left_semi").select("row", "kind", "start", "end")
 
 
 def find(docs: DataFrame) -> DataFrame:
