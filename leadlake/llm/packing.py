@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from leadlake.llm._common import body, cut
+from leadlake.llm._common import body, cut, tasks
 from leadlake.llm.tokens import chunks, crc, default_path, encoder
 
 CAPACITY = 4096
@@ -104,13 +104,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     pieces = cut(rows.mapInArrow(_cutter(tokenizer or default_path(), capacity), schema), "pack-pieces")
     counts = pieces.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n"))
     ordered = W.partitionBy("class").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    counts = cut(counts.select("class", "part", F.coalesce(F.sum("n").over(ordered), F.lit(0)).alias("before"), "n"), "pack-counts")
+    counts = cut(counts.select("class", "part", F.coalesce(F.sum("n").over(ordered), F.lit(0)).alias("before"), "n"), "pack-counts", 1)
     full = counts.groupBy("class").agg(F.floor(F.sum("n") / F.col("class")).cast("long").alias("bins"))
     base = F.coalesce(F.sum("bins").over(W.orderBy("class").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     full = full.select("class", "bins", base.alias("base"))
-    offsets = cut(counts.drop("n").join(full, "class"), "pack-offsets")
+    offsets = cut(counts.drop("n").join(full, "class"), "pack-offsets", 1)
     ranked = pieces.join(offsets, ["class", "part"]).withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("class", "part").orderBy("seq")) - 1)
-    ranked = cut(ranked.withColumn("bin", F.expr("rank div class")), "pack-ranked")
+    ranked = cut(ranked.withColumn("bin", F.expr("rank div class")), "pack-ranked", tasks(pieces))
     whole = ranked.where("bin < bins").withColumn("sequence_id", F.col("base") + F.col("bin"))
     inside = W.partitionBy("sequence_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "sequence_id", "offset"]
