@@ -106,7 +106,7 @@ def company_match(domain: Column, name: Column, pages: Column, has_person: Colum
 def evidence_by_field(evidence: DataFrame, session: str = "session_id") -> DataFrame:
     """Evidence rows (session, field, value, status, updated_at) -> one row for each session with a map from field to its newest evidence."""
     entry = F.struct("value", "status")
-    newest = evidence.groupBy(session, "field").agg(F.max_by(entry, F.struct("updated_at", "value")).alias("e"))
+    newest = evidence.groupBy(session, "field").agg(F.max_by(entry, F.struct("updated_at", "value", "status")).alias("e"))
     return newest.groupBy(session).agg(F.map_from_entries(F.collect_list(F.struct("field", "e"))).alias("evidence"))
 
 

@@ -99,11 +99,11 @@ def circuit_breaker(t):
     return O.circuit_breaker(s, "user_id", "ts").select("event_id", "level")
 
 
-@query("search_batches", "SELECT event_type, batch_no, count(*) AS searches, round(sum(value), 2) AS yield FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) / 50) AS INTEGER) AS batch_no FROM events) GROUP BY ALL")
+@query("search_batches", "SELECT user_id, batch_no, count(*) AS searches, round(sum(value), 2) AS yield FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) / 50) AS INTEGER) AS batch_no FROM events) GROUP BY ALL")
 def search_batches(t):
-    """Batches of 50 searches."""
-    b = jobs.numbered_batches(t("events"), ["ts", "event_id"], "event_type")
-    return b.groupBy("event_type", "batch_no").agg(F.count(F.lit(1)).alias("searches"), F.round(F.sum("value"), 2).alias("yield"))
+    """Batches of 50 searches of each keyword, here of each user: windows by a key that grows with the data."""
+    b = jobs.numbered_batches(t("events"), ["ts", "event_id"], "user_id")
+    return b.groupBy("user_id", "batch_no").agg(F.count(F.lit(1)).alias("searches"), F.round(F.sum("value"), 2).alias("yield"))
 
 
 _MESSAGES = "['Qualified Size: 1-10', 'Exceeds 200 Size:', 'Size: UNKNOWN', 'LISTING page', 'plain']"
@@ -154,15 +154,15 @@ def early_stop(t):
     return O.until_sum(t("events").withColumn("k", _k()), "user_id", ["ts", "event_id"], "k", 250).select("event_id", "user_id")
 
 
-@query("slot_leases", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 90000000 PRECEDING AND 1 PRECEDING) < 2 AS granted FROM events")
+@query("slot_leases", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 90000000 PRECEDING AND 1 PRECEDING) < 2 AS granted FROM events")
 def slot_leases(t):
     """Leases of 90 seconds, two at a time."""
-    return O.leases(t("events"), "event_type", "ts", 2).select("event_id", "granted")
+    return O.leases(t("events"), "user_id", "ts", 2).select("event_id", "granted")
 
 
-@query("task_schedule", f"SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY {_K} % 10 DESC, ts, event_id) AS place FROM events")
+@query("task_schedule", f"SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY {_K} % 10 DESC, ts, event_id) AS place FROM events")
 def task_schedule(t):
-    return O.schedule(t("events").withColumn("priority", _k() % 10), "event_type", "priority", "ts", "event_id").select("event_id", F.col("place").cast("long").alias("place"))
+    return O.schedule(t("events").withColumn("priority", _k() % 10), "user_id", "priority", "ts", "event_id").select("event_id", F.col("place").cast("long").alias("place"))
 
 
 @query("dead_letters", f"SELECT event_id, {_K} AS retries FROM events WHERE {_K} >= 95")
@@ -170,12 +170,6 @@ def dead_letters(t):
     return O.dead_letters(t("events").withColumn("retries", _k()), "retries", 95).select("event_id", "retries")
 
 
-@query("ttl_locks")
-def ttl_locks(t):
-    """Events that find their type's lock of five minutes free and take it; held against a loop in the tests."""
-    return O.ttl_locks(t("events"), "event_type", "ts", 300)
-
-
 @query("elapsed", "SELECT user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000.0, 1) AS ms FROM events GROUP BY user_id")
 def elapsed(t):
     g = t("events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))

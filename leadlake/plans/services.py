@@ -9,7 +9,7 @@ from leadlake.operators import filters as R
 from leadlake.operators import relational as J
 from leadlake.operators import resolution as V
 from leadlake.operators import windows as O
-from leadlake.plans.pages import _HOST, _ROOT, _category
+from leadlake.plans.pages import _HOST, _ROOT, _category, _rx
 from leadlake.plans.registry import query
 
 
@@ -68,7 +68,19 @@ def track_domains(t):
     return out.select("c_custkey", "hit_id", "matched_by")
 
 
-@query("inferred_sectors")
+def _sector() -> str:
+    out = []
+    for name, words in V.SECTOR_WORDS.items():
+        short, long = [w for w in words if len(w) <= 3], [w for w in words if len(w) > 3]
+        rx = "|".join(([rf"(?:^|[^a-z0-9_])(?:{U.quoted(short)})(?:[^a-z0-9_]|$)"] if short else []) + [U.quoted(long)] * bool(long))
+        out.append(f"WHEN regexp_matches(low, {_rx(rx)}) THEN {_rx(name)}")
+    return "CASE " + " ".join(out) + " ELSE 'Unknown' END"
+
+
+_PLACE = "CASE " + " ".join(f"WHEN contains(head, '{w}') THEN {_rx(place)}" for w, place in V.CITIES.items()) + " ELSE 'Unknown' END"
+
+
+@query("inferred_sectors", f"SELECT doc_id, {_sector()} AS sector, {_PLACE} AS place FROM (SELECT doc_id, lower(text) AS low, 'https://x.com ' || lower(split_part(text, chr(10), 1)) AS head FROM documents)")
 def inferred_sectors(t):
     """Sector and place of each document by the ladders of words."""
     x = F.col("text")

@@ -287,7 +287,7 @@ def added_people(t):
     return J.new_names(old, new, ["company"], "name")
 
 
-@query("evidence_fields", "SELECT l_orderkey AS session_id, l_returnflag AS field, l_linenumber AS value, l_linestatus AS status FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_shipdate DESC, l_linenumber DESC) AS k FROM lineitem) WHERE k = 1")
+@query("evidence_fields", "SELECT l_orderkey AS session_id, l_returnflag AS field, l_linenumber AS value, l_linestatus AS status FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_shipdate DESC, l_linenumber DESC, l_linestatus DESC) AS k FROM lineitem) WHERE k = 1")
 def evidence_fields(t):
     """The newest evidence of each field of a session, as a map from field to value."""
     e = t("lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_returnflag").alias("field"), F.col("l_linenumber").alias("value"), F.col("l_linestatus").alias("status"), F.col("l_shipdate").alias("updated_at"))
