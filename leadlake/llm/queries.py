@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from leadlake.llm import exact_dedup, hilbert, line_dedup, mixing, packing, pii, simhash, subword, wavelet, weak_rules
+from leadlake.llm._common import tidy
 from leadlake.session import ship
 
 
 def _over_documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @tidy
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
         return f(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -19,6 +21,7 @@ def _over_documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessi
     return query
 
 
+@tidy
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return subword.op3(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

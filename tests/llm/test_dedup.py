@@ -59,22 +59,23 @@ def test_op5_survivors_and_empty(odd, odd_rows, none):
 
 
 def units(text):
-    at = 0
-    for m in re.finditer(r"[.!?][\x20\x09-\x0D]+|\n", text):
-        yield at, m.end()
-        at = m.end()
-    if at < len(text):
-        yield at, len(text)
+    """Lines, and sentences in them: (start, end, least words)."""
+    for rx, least in ((r"\n", 1), (r"[.!?][\x20\x09-\x0D]+|\n", 5)):
+        at = 0
+        for m in re.finditer(rx, text):
+            yield at, m.end(), least
+            at = m.end()
+        if at < len(text):
+            yield at, len(text), least
 
 
 def test_op8(odd, odd_rows):
     seen = defaultdict(set)
     for i, t, *_ in odd_rows:
         t = t or ""
-        for a, z in units(t):
-            w = re.sub("[A-Z]", lambda m: m[0].lower(), t[a:z]).split()
-            w = re.findall(r"[^\x20\x09-\x0D]+", " ".join(w))
-            if len(w) >= 5:
+        for a, z, least in units(t):
+            w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t[a:z]))
+            if len(w) >= least:
                 seen[" ".join(w)].add((i is not None, i or 0, t, a, z, len(w)))
     want = set()
     for places in seen.values():
@@ -87,11 +88,25 @@ def test_op8(odd, odd_rows):
     assert got == want and want
 
 
+def test_op8_lines_of_short_sentences_and_of_few_words_go(spark):
+    line = "One two. Three. Four five! Six? " * 9
+    rows = [(1, f"a first line\n{line}\nAll rights reserved."), (2, f"another text here\nALL  rights reserved.\n{line}"), (3, f"start of three {line.strip()} and its end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in line_dedup.clean(docs).collect()}
+    assert out[1] == rows[0][1] and out[2] == "another text here\n" and out[3] == rows[2][1]
+    passage = "This is a sentence of a passage. It has another sentence of some words. "
+    rows = [(1, f"Head one. {passage}Tail one."), (2, f"Head two is here. {passage}Tail two.")]
+    out = {r.doc_id: r.text for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: rows[0][1], 2: "Head two is here. Tail two."}
+
+
 def test_op8_clean_and_empty(odd, none):
     out = line_dedup.clean(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
     assert line_dedup.repeats(out).count() == 0
     assert line_dedup.op8(none).collect() == [] and line_dedup.clean(none).collect() == []
+    for unit in ("line", "paragraph", "sentence"):
+        assert line_dedup.repeats(line_dedup.clean(odd, (unit,)), (unit,)).count() == 0
 
 
 def slow_print(text):
