@@ -16,6 +16,7 @@ component; repeated rows share their component; an empty table gives an empty re
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from itertools import accumulate, combinations, repeat
 from math import comb
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.llm._common import body, cut
+from leadlake.llm._common import body, boxed, cut, lean, number, tasks
 from leadlake.llm.graph import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -32,22 +33,43 @@ SAMPLE = 2048  # fingerprints looked at to estimate candidates
 BITMAP_BITS = 27  # a part's bitmap has about 256 bits for each fingerprint, but no more than 2**27: 16 MB
 #: What a row costs, in comparisons of two fingerprints: standing in a bucket, a probe made, one that passes the bitmap, one that meets a row.
 OWN, MADE, PASSED, HIT = 5.0, 0.025, 2.0, 8.0
+BLOCK_BYTES = 1 << 19  # text whose words stand in one list
+_GAP = re.compile(rb"[\x20\x09-\x0D]").search
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def shingle_hashes(text: bytes, k: int = SHINGLE) -> list[int]:
-    """XXH64 of each k-word shingle, repeats included."""
+def _word_blocks(text: bytes, keep: int):
+    """The words of text in blocks of about BLOCK_BYTES, so that no list holds all words of a long text; a block begins with the last `keep` words
+    of the one before."""
+    at, n, carried = 0, len(text), []
+    while at < n:
+        end = min(at + BLOCK_BYTES, n)
+        if end < n:
+            m = _GAP(text, end)
+            end = m.start() if m else n
+        words = carried + text[at:end].split()
+        yield words
+        carried = words[-keep:] if keep else []
+        at = end
+
+
+def shingle_hashes(text: bytes, k: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each k-word shingle, repeats included; a text of fewer words is one shingle, a text without words none."""
     from xxhash import xxh64_intdigest
 
-    words = text.translate(_LOWER).split()
-    if not words:
-        return []
-    whole = b" ".join(words)
-    if len(words) <= k:
-        return [xxh64_intdigest(whole, SEED)]
-    ends = list(accumulate(map(len, words), lambda a, n: a + 1 + n))
-    starts = [0, *(e + 1 for e in ends)]
-    return list(map(xxh64_intdigest, map(whole.__getitem__, map(slice, starts, ends[k - 1 :])), repeat(SEED)))
+    out, few = [], []
+    for words in _word_blocks(text.translate(_LOWER), k - 1):
+        if len(words) < k:
+            few = words
+            continue
+        whole = b" ".join(words)
+        ends = list(accumulate(map(len, words), lambda a, n: a + 1 + n))
+        starts = [0, *(e + 1 for e in ends)]
+        count = len(words) - k + 1
+        out.append(np.fromiter(map(xxh64_intdigest, map(whole.__getitem__, map(slice, starts, ends[k - 1 :])), repeat(SEED)), np.uint64, count))
+    if out:
+        return out[0] if len(out) == 1 else np.concatenate(out)
+    return np.array([xxh64_intdigest(b" ".join(few), SEED)] if few else [], np.uint64)
 
 
 def _bits_set(h: np.ndarray) -> np.ndarray:
@@ -61,15 +83,16 @@ def _bits_set(h: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: bytes) -> int:
     h = shingle_hashes(text)
-    if not h:
+    if not len(h):
         return 0
-    on = 2 * _bits_set(np.array(h, "<u8")) > len(h)
+    on = 2 * _bits_set(h) > len(h)
     return int.from_bytes(np.packbits(on, bitorder="little").tobytes(), "little")
 
 
 def _prints(batches):
     import pyarrow as pa
 
+    lean()
     for b in batches:
         texts = b.column("text").cast(pa.large_string()).cast(pa.large_binary())
         fps = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, b.num_rows)
@@ -210,42 +233,44 @@ def _signer(p: Plan, maps: dict[int, tuple[int, bytes]]):
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """fps (fp), distinct -> (a, b): links of at most distance bits that join all fingerprints that any such links join."""
     sample = np.array([r.fp for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    n = fps.count()
-    p = plan(sample, n, distance)
-    signed = cut(fps.select("fp").mapInArrow(_signer(p, _bitmaps(fps, p, n)), "part byte, key long, fp long, probe boolean"), "simhash-keys")
+    rows = fps.count()
+    p = plan(sample, rows, distance)
+    signed = cut(fps.select("fp").mapInArrow(_signer(p, _bitmaps(fps, p, rows)), "part byte, key long, fp long, probe boolean"), "simhash-keys")
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
     bucket = ["part", "key"]
     heads = signed.groupBy(*bucket).agg(F.min(F.when(~F.col("probe"), F.col("fp"))).alias("head"), F.count(F.lit(1)).alias("n")).where("head is not null and n > 1").drop("n")
-    live = cut(signed.join(heads, bucket), "simhash-live")
-    star = cut(live.where(F.col("fp") != F.col("head")).where(close("fp", "head")).select(F.col("fp").alias("a"), F.col("head").alias("b")), "simhash-star")
+    n = tasks(signed)
+    live = cut(signed.join(heads, bucket), "simhash-live", n)
+    star = cut(live.where(F.col("fp") != F.col("head")).where(close("fp", "head")).select(F.col("fp").alias("a"), F.col("head").alias("b")), "simhash-star", n)
     comp = components(star, "simhash-cc").withColumnRenamed("v", "fp")
-    labelled = cut(live.drop("head").join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "simhash-labelled")
+    labelled = cut(live.drop("head").join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "simhash-labelled", n)
     sizes = labelled.groupBy(*bucket, "comp").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("probe")).alias("own"))
     mixed = sizes.groupBy(*bucket).agg(F.count(F.lit(1)).alias("comps"), F.sum("own").alias("own"), F.max(F.struct("n", "comp")).alias("most"))
-    mixed = cut(mixed.where("comps > 1 and own > 0").select(*bucket, F.col("most.comp").alias("main")), "simhash-mixed")
+    mixed = cut(mixed.where("comps > 1 and own > 0").select(*bucket, F.col("most.comp").alias("main")), "simhash-mixed", n)
     left = labelled.join(mixed, bucket).where("comp <> main").select(*bucket, F.col("fp").alias("a"), F.col("comp").alias("ca"), F.col("probe").alias("pa"))
     right = labelled.join(mixed.select(*bucket), bucket, "left_semi").select(*bucket, F.col("fp").alias("b"), F.col("comp").alias("cb"), F.col("probe").alias("pb"))
     on = (left.part == right.part) & (left.key == right.key) & (F.col("ca") != F.col("cb")) & ~(F.col("pa") & F.col("pb")) & close("a", "b")
-    cross = left.join(right, on).select("a", "b")
+    cross = cut(left.join(right, on).select("a", "b"), "simhash-cross", n)
     return star.unionByName(cross)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for each row of docs."""
     prints = cut(fingerprints(docs), "simhash-prints")
-    fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    n = tasks(prints)
+    fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct", n)
     comp = components(links(fps), "simhash-all").withColumnRenamed("v", "fp")
     named = fps.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    named = cut(named, "simhash-named")
+    named = cut(named, "simhash-named", n)
     least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    return prints.join(cut(named.join(least, "comp").select("fp", "component_id"), "simhash-components"), "fp")
+    return prints.join(cut(named.join(least, "comp").select("fp", "component_id"), "simhash-components", n), "fp")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
     """One document of each group stays: the one with the least doc_id. Rows that share a doc_id share its fate; rows without one stay."""
-    found = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("_stays"))
-    gone = cut(found.where("not _stays").select(F.col("doc_id").alias("_gone_id")), "simhash-gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone_id"), "left_anti")
+    found = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = cut(found.where("not stays").select(F.col("doc_id").alias("id")), "simhash-gone", tasks(docs))
+    return boxed(docs, id=number()).join(gone, "id", "left_anti").select("row.*")
 
 
 def op9(docs: DataFrame) -> DataFrame:
