@@ -1,10 +1,10 @@
 """Exact dedup by a log-structured merge index of text digests. DataFrame operations only.
 
 Memtable: the digests of one input task. Flush: each memtable is folded to one entry for each digest and written as a sorted run with
-Parquet Bloom filters. Compaction: the runs merge into one sorted level that holds, for each digest, the identifier that stays and the
-group's size. Hits (digests of more than one row) are verified byte by byte: a bitmap filter of bounded size over hit digests picks the
-rows whose texts must travel, and a group is one text exactly if its least and greatest texts are equal, which partial aggregation finds
-without gathering the group. Digests shared by different texts are then regrouped by the texts themselves.
+Parquet Bloom filters, which serve look-ups of single digests (lookup); the merge reads all runs. Compaction: the runs merge into one sorted level that
+holds, for each digest, the identifier that stays and the group's size. Hits (digests of more than one row) are verified byte by byte: one bitmap
+filter of bounded size over hit digests stands in for the runs' filters there and picks the rows whose texts must travel, and a group is one text
+exactly if its least and greatest texts are equal, which partial aggregation finds without gathering the group. Digests shared by different texts are then regrouped by the texts themselves.
 
 Defined results: null text equals empty text; a null doc_id ranks below every other; of repeated rows with one doc_id and text one row is
 kept; an empty table gives an empty result; further columns, whatever their names, are left alone by survivors().
@@ -14,13 +14,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from leadlake.llm._common import body, cut
+from leadlake.llm._common import bitmap, body, boxed, cut, maybe_in, number, tasks
 
-#: The bitmap filter has 2**FILTER_BITS bits, 2 MB whatever the input: false positives cost shuffle, never results.
-FILTER_BITS = 24
+#: Filters of the runs and the level, for look-ups of single digests.
 _BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.max.bytes": "1048576"}
 
 
@@ -28,21 +26,9 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _slot(digest: Column) -> Column:
-    return F.conv(F.hex(F.substring(digest, 1, 4)), 16, 10).cast("long") % (1 << FILTER_BITS) + 1
-
-
-def _bitmap(hits: DataFrame) -> DataFrame:
-    p = hits.select(_slot(F.col("digest")).alias("p"))
-    return p.groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
-
-
-def _through(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """Rows whose digest may be in the bitmap. The broadcast side is bounded by FILTER_BITS."""
-    at = F.bitmap_bit_position(_slot(F.col("digest")))
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    probed = rows.withColumn("_bucket", F.bitmap_bucket_number(_slot(F.col("digest")))).withColumn("_at", at)
-    return probed.join(F.broadcast(bitmap), "_bucket").where(F.expr("getbit(cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int), cast(_at % 8 as int)) = 1")).drop("_bucket", "_at", "_bits")
+def _slot() -> Column:
+    """A digest's place in the bitmap filter."""
+    return F.xxhash64("digest").alias("slot")
 
 
 def index(docs: DataFrame, digest=sha256) -> DataFrame:
@@ -52,11 +38,12 @@ def index(docs: DataFrame, digest=sha256) -> DataFrame:
     log = cut(rows.select("doc_id", "digest", F.spark_partition_id().alias("run"), F.monotonically_increasing_id().alias("pos")), "lsm-log")
     entry = F.struct(F.col("doc_id").alias("id"), (-F.col("pos")).alias("neg"))
     runs = cut(log.groupBy("run", "digest").agg(F.max(entry).alias("best"), F.count(F.lit(1)).alias("n")).sortWithinPartitions("digest"), "lsm-run", **_BLOOM)
+    n = tasks(log)
     level = runs.groupBy("digest").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
-    hits = cut(level.where("n > 1").sortWithinPartitions("digest"), "lsm-level", **_BLOOM)
-    probes = _through(rows, _bitmap(hits))
+    hits = cut(level.where("n > 1").coalesce(n).sortWithinPartitions("digest"), "lsm-level", **_BLOOM)
+    probes = maybe_in(rows.select("*", _slot()), "slot", bitmap(hits.select(_slot()), "slot"))
     verified = probes.groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
-    clash = cut(verified.where("lo <> hi").select("digest"), "lsm-clash")
+    clash = cut(verified.where("lo <> hi").select("digest"), "lsm-clash", n)
     found = log.join(hits, "digest", "left").select(
         "doc_id", "digest", "pos", F.expr("if(n is null, doc_id, best.id)").alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.expr("n is null or pos = -best.neg").alias("kept"),
@@ -71,21 +58,29 @@ def index(docs: DataFrame, digest=sha256) -> DataFrame:
     return found.drop("pos").join(clash, "digest", "left_anti").unionByName(exact)
 
 
+def lookup(runs: DataFrame, texts: list[str]) -> DataFrame:
+    """Entries of written runs or levels (digest, ...) for a few texts: the digests are pushed to the scan, where the files' Bloom filters are asked."""
+    from hashlib import sha256 as digest
+
+    return runs.where(F.col("digest").isin([bytearray(digest(t.encode()).digest()) for t in texts]))
+
+
 def survivors(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    found = cut(index(docs), "lsm-found")
+    """The rows of docs that stay, with all their columns. Of repeated rows with one doc_id and text any one stays."""
+    n = tasks(docs)
+    found = cut(index(docs), "lsm-found", n)
     ids = found.groupBy("doc_id").agg(F.count_if("kept").alias("k"), F.count(F.lit(1)).alias("n"))
-    odd = cut(ids.where("k < n").select(F.col("doc_id").alias("_drop_id"), "k"), "lsm-drop")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_drop_id"))
-    out = docs.join(odd, same, "left_anti")
-    mixed = odd.where("k > 0").select("_drop_id")
+    odd = cut(ids.where("k < n").select(F.col("doc_id").alias("id"), "k"), "lsm-drop", n)
+    all_ = boxed(docs, own=number())
+    out = all_.join(odd, F.col("own").eqNullSafe(F.col("id")), "left_anti").select("row.*")
+    mixed = odd.where("k > 0").select("id")
     if mixed.isEmpty():
         return out
-    stay = found.where("kept").select(F.col("doc_id").alias("_stay_id"), F.col("digest").alias("_stay_digest"))
-    own = docs.join(mixed, same, "left_semi").withColumn("_own_digest", sha256(body()))
-    own = own.join(stay, own["doc_id"].cast("long").eqNullSafe(F.col("_stay_id")) & (F.col("_own_digest") == F.col("_stay_digest")), "left_semi")
-    first = own.withColumn("_no", F.row_number().over(W.partitionBy("doc_id", "_own_digest").orderBy(F.lit(1)))).where("_no = 1")
-    return out.unionByName(first.select(*docs.columns))
+    # ids of which some rows stay: their texts tell which
+    stay = found.where("kept").select(F.col("doc_id").alias("id"), F.col("digest").alias("stays")).distinct()
+    some = boxed(docs, own=number(), digest=sha256(body())).join(mixed, F.col("own").eqNullSafe(F.col("id")), "left_semi")
+    some = some.join(stay, F.col("own").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("stays")), "left_semi")
+    return out.unionByName(some.groupBy("own", "digest").agg(F.first("row").alias("row")).select("row.*"))
 
 
 def op5(docs: DataFrame) -> DataFrame:
