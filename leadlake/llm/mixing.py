@@ -14,11 +14,14 @@ empty tables give empty results; other columns are left alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from leadlake.llm._common import WORD_RX, body, cut, prefix, word_count
+from leadlake.llm._common import body, boxed, cut, number, prefix, tasks, word_count
 
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
@@ -37,16 +40,21 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most=MOST_EPOCHS) -> DataFrame:
     return s.select("key", "source", "source_size", F.least(F.col("_cap").cast("double"), F.coalesce(F.col("_lambda") * F.col("_w"), F.lit(0.0))).alias("target"))
 
 
+def _key() -> Column:
+    """The source as a string that is never null."""
+    return F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, words_before, taken for each row of docs."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))).alias("key"),
+        _key().alias("key"),
         word_count(body()).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_h"), F.xxhash64(body()).alias("_x"),
     )
     rows = cut(rows, "mix-rows")
     sizes = rows.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    goal = cut(targets(sizes), "mix-targets").drop("source")
+    goal = cut(targets(sizes), "mix-targets", 1).drop("source")
     placed = prefix(rows, ["_h", "doc_id", "_x"], "size", "key", "mix").withColumnRenamed("_before", "words_before")
     out = placed.join(goal, "key")
     budget = F.floor(F.col("target")).cast("long")
@@ -57,16 +65,34 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def materialise(docs: DataFrame) -> DataFrame:
-    """The mixed corpus: each document as often as its words are taken; a copy that is cut ends with the last word taken. Columns as in docs."""
-    m = cut(mix(docs).where("taken > 0").groupBy("doc_id", "_x").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken")).withColumnRenamed("doc_id", "_mix_id").withColumnRenamed("_x", "_mix_x"), "mix-taken")
-    on = docs["doc_id"].cast("long").eqNullSafe(F.col("_mix_id")) & (F.xxhash64(body()) == F.col("_mix_x"))
-    copies = docs.join(m, on).withColumn("_left", F.explode(F.expr("transform(sequence(0, cast((_taken - 1) div _size as int)), i -> least(_size, _taken - i * _size))")))
-    whole = F.col("_left") == F.col("_size")
-    kept = F.when(whole, F.col("text")).otherwise(F.expr(r"array_join(slice(regexp_extract_all(coalesce(text, ''), '[ \\x09-\\x0D]*[^ \\x09-\\x0D]+', 0), 1, cast(_left as int)), '')"))
-    fixed = copies.withColumn("text", kept)
-    if "n_chars" in docs.columns:
-        fixed = fixed.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return fixed.select(*docs.columns)
+    """The mixed corpus: each document as often as its words are taken; a copy that is cut ends with the last word taken. Columns as in docs.
+
+    Rows of one doc_id, text and source share what is taken of them all: whole copies are dealt out evenly, a cut one comes once.
+    """
+    same = ["id", "x", "key"]
+    taken = mix(docs).groupBy(F.col("doc_id").alias("id"), F.col("_x").alias("x"), _key().alias("key"))
+    taken = cut(taken.agg(F.max("size").alias("size"), F.sum("taken").alias("words"), F.count(F.lit(1)).alias("rows")).where("words > 0"), "mix-taken", tasks(docs))
+    rows = boxed(docs, id=number(), x=F.xxhash64(body()), key=_key())
+    on = lambda left, right: reduce(and_, [left[c].eqNullSafe(right[c]) for c in same])
+    once = taken.where("rows = 1")
+    out = rows.join(once, on(rows, once)).select("row", "size", F.col("words").alias("words"))
+    more = taken.where("rows > 1")
+    if not more.isEmpty():
+        again = cut(rows.join(more, on(rows, more), "left_semi").withColumn("no", F.monotonically_increasing_id()).withColumn("one", F.lit(1).cast("long")), "mix-again")
+        ranked = prefix(again.select("id", "x", "key", "no", "one"), [*same, "no"], "one", None, "mix-again")
+        first = ranked.groupBy([F.col(c).alias(f"f{c}") for c in same]).agg(F.min("_rank").alias("first"))
+        ranked = ranked.join(first, reduce(and_, [F.col(c).eqNullSafe(F.col(f"f{c}")) for c in same])).select("no", *same, (F.col("_rank") - F.col("first")).alias("at"))
+        part = F.expr("if(at < words div size % rows, size, if(at = words div size % rows, words % size, 0))")
+        share = ranked.join(more, on(ranked, more)).select("no", "size", (F.expr("words div size div rows") * F.col("size") + part).alias("words"))
+        out = out.unionByName(again.select("row", "no").join(share, "no").select("row", "size", "words").where("words > 0"))
+    copies = out.withColumn("left", F.explode(F.expr("transform(sequence(0, cast((words - 1) div size as int)), i -> least(size, words - i * size))")))
+    whole = F.col("left") == F.col("size")
+    text = F.expr(r"array_join(slice(regexp_extract_all(coalesce(row.text, ''), '[ \\x09-\\x0D]*[^ \\x09-\\x0D]+', 0), 1, cast(left as int)), '')")
+    cols = {c: F.col("row").getField(c) for c in docs.columns}
+    cols["text"] = F.when(whole, cols["text"]).otherwise(text)
+    if "n_chars" in cols:
+        cols["n_chars"] = F.when(whole, cols["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return copies.select(*[c.alias(n) for n, c in cols.items()])
 
 
 def op10(docs: DataFrame) -> DataFrame:
