@@ -85,7 +85,7 @@ class WordEncoder:
         if w[-1:] in self.marks and (low := self._plain(w[:-1])) is not None:
             return self._letters_only(low) + self._piece(w[-1])
         low = w.lower()
-        if self.safe(w) and self.safe(low) and "<|" not in w and "\u03a3" not in w and (w.isascii() or unicodedata.is_normalized("NFC", w)):
+        if self.safe(w) and self.safe(low) and "<|" not in w and "\u03a3" not in w and (w.isascii() or (unicodedata.is_normalized("NFC", w) and all(c < "\x80" or c.isalpha() for c in w))):
             return b"".join(map(self._piece, self.split(low)))
         return array("H", self.whole.encode(w, add_special_tokens=False).ids).tobytes()
 

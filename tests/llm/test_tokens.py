@@ -35,6 +35,12 @@ def test_batches_encode_as_whole_texts(texts):
     assert got == [plain(t) for t in texts]
 
 
+def test_code_points_that_only_some_tables_call_letters():
+    texts = [":\U0003d000", "a\U0003d000b", "\U000323b0:", "é:\U0002ebf0", "x.\U00030000"]
+    ids, starts = tokens.encoder(PATH).encode(pa.array(texts))
+    assert [ids[a:z].tolist() for a, z in zip(starts[:-1], starts[1:], strict=True)] == [plain(t) for t in texts]
+
+
 def test_cache_and_chunk_bounds_do_not_change_results(monkeypatch, odd_rows):
     texts = [r[1] or "" for r in odd_rows]
     monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
