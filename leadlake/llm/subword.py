@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadlake.llm._common import body, cut
+from leadlake.llm._common import body, cut, free, lean
 
 BUCKET_BITS = 18
 DIM = 16
@@ -31,8 +31,8 @@ TRAIN_ROWS = 4000
 EPOCHS, RATE, SEED = 5, 0.5, 7
 THRESHOLD = 0.7
 HELD_OUT = "pmod(crc32(cast(doc_id as string)), 4) = 2"
-CHUNK_BYTES = 2 << 20  # text scored at once
-BLOCK_BYTES = 1 << 20  # text cut into n-grams at once, however long its words are
+CHUNK_BYTES = 1 << 20  # text scored at once
+BLOCK_BYTES = 1 << 19  # text cut into n-grams at once, however long its words are
 _PAIR, _MIX, _CONSTANT, _SAME, _AGAIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 1, 2, 3
 
 
@@ -198,22 +198,23 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     return Model(np.frombuffer(bytes(got["table"]), "<f4").astype(np.float64), got["bias"])
 
 
-def _scorer(model: Model):
+def _scorer(model: Model, name: str):
     def run(batches):
         import pyarrow as pa
 
         from leadlake.llm.tokens import chunks
 
+        lean()
         for b in batches:
             scores = [model.score(c) for _, c in chunks(b.column("text"), CHUNK_BYTES)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*b.schema.names, name])
 
     return run
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with _score. docs has text as a string column."""
-    return docs.mapInArrow(_scorer(model), T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+def scored(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
+    """docs with its score as a further column. docs has text as a string column and none of that name."""
+    return docs.mapInArrow(_scorer(model, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -224,4 +225,5 @@ def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def survivors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier predicts good, with all their columns."""
-    return scored(docs, fit(docs, labels)).where(F.col("_score") >= THRESHOLD).drop("_score")
+    name = free(docs, "score")
+    return scored(docs, fit(docs, labels), name).where(F.col(name) >= THRESHOLD).drop(name)
