@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from leadlake.llm import exact_dedup, hilbert, line_dedup, mixing, packing, pii, simhash, subword, wavelet, weak_rules
+from leadlake.llm import exact_dedup, hilbert, imatch, line_dedup, mixing, packing, pii, runs, simhash, subword, wavelet, weak_rules, whitening
 from leadlake.llm._common import tidy
 from leadlake.session import ship
 
@@ -27,6 +27,12 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword.op3(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@tidy
+def _whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return whitening.op12(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_wavelet_matrix": _over_documents(wavelet.op1),
@@ -39,6 +45,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": _over_documents(line_dedup.op8),
         "op9_simhash_pigeonhole": _over_documents(simhash.op9),
         "op10_mixing": _over_documents(mixing.op10),
+        "op11_imatch": _over_documents(imatch.op11),
+        "op12_svd_whitening": _whitened,
+        "op13_periodic_runs": _over_documents(runs.op13),
         "pipeline": corpus_pipeline.run,
     }
 
