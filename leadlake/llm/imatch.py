@@ -125,29 +125,28 @@ def ring(docs: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, key, text, and edited: the last half of the text replaced by as much of the next document's start. links: ring(docs), written."""
+    """doc_id, key, next_key, text, and edited: the last half of the text replaced by as much of the next document's start. links: ring(docs), written."""
     # many terms for each byte: dealt for good, so that tasks are not joined by the texts' size; both uses share the one exchange
     rows = _rows(docs).select("key", "text").repartition(parts(docs.sparkSession), "key")
     starts = rows.join(links.select("key", "prev_key", "prev_chars"), "key").select(F.col("prev_key").alias("key"), F.substr("text", F.lit(1), F.expr("cast(prev_chars div 2 as int)")).alias("start"))
     if not links.where("copies > 1").isEmpty():
         starts = starts.dropDuplicates(["key"])  # of repeated rows each gives its start
-    both = rows.join(links.select("key", "doc_id"), "key").join(starts, "key")
+    both = rows.join(links.select("key", "doc_id", "next_key"), "key").join(starts, "key")
     size = F.char_length("text")
-    return both.select("key", "doc_id", "text", F.concat(F.substr("text", F.lit(1), size - F.floor(size / 2).cast("int")), F.col("start")).alias("edited"))
+    return both.select("key", "next_key", "doc_id", "text", F.concat(F.substr("text", F.lit(1), size - F.floor(size / 2).cast("int")), F.col("start")).alias("edited"))
 
 
 def op11(docs: DataFrame) -> DataFrame:
     words, links = lexicon(docs), cut(ring(docs), "imatch-ring")
     both = edited(docs, links).select(
-        "key", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "key", "next_key", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("text"), words).alias("fingerprint"), fingerprint(F.col("edited"), words).alias("edited_fingerprint"),
     )
     found = cut(both, "imatch-prints")
     nexts = found.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("_next"))
     if not links.where("copies > 1").isEmpty():
         nexts = nexts.dropDuplicates(["next_key"])
-    out = found.join(links.select("key", "next_key"), "key").join(nexts, "next_key")
-    return out.select(
+    return found.join(nexts, "next_key").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("_next")).alias("near_next"),
     )
