@@ -26,6 +26,11 @@ def latest_by(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     return best.select(*keys, *[F.col("_r")[c].alias(c) for c in rest]).select(*df.columns)
 
 
+def first_of(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
+    """The first k rows of each key. Tasks keep k rows of each key before the shuffle, so a key with all rows is no burden."""
+    return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= k).drop("_rn")
+
+
 def keep_first(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     """One row for each key, the one that stands first."""
     rest = [c for c in df.columns if c not in keys]
@@ -91,14 +96,17 @@ def first_match(base: DataFrame, lookups: list[tuple[DataFrame, str, str]], key:
 
 def people_of_companies(companies: DataFrame, people: DataFrame, name: str, domain: str, company: str, limit: int = 8) -> DataFrame:
     """companies with people: by the name's key, else people whose company's key contains the domain's first label (of three characters or more)."""
-    c = companies.withColumn("_id", F.monotonically_increasing_id()).withColumn("_k", X.company_key(F.col(name))).withColumn("_b", F.lower(F.substring_index(F.col(domain), ".", 1)))
+    c = companies.withColumn("_k", X.company_key(F.col(name))).withColumn("_b", F.lower(F.substring_index(F.col(domain), ".", 1)))
+    c = c.withColumn("_id", F.concat_ws("\x01", F.coalesce("_k", F.lit("\x02")), F.coalesce("_b", F.lit("\x02"))))  # all that the people depend on
     p = people.withColumn("_pk", X.company_key(F.col(company)))
     entry = F.struct(*people.columns).alias("_p")
-    exact = c.join(p, F.col("_k") == F.col("_pk")).select("_id", entry)
-    rest = c.join(exact.select("_id").distinct(), "_id", "left_anti").where(F.length("_b") >= 3)
+    asked = c.select("_id", "_k", "_b").distinct()
+    exact = asked.join(p, F.col("_k") == F.col("_pk")).select("_id", entry)
+    rest = asked.join(exact.select("_id").distinct(), "_id", "left_anti").where(F.length("_b") >= 3)
     held = containing(rest.select(F.col("_id").alias("needle_id"), F.col("_b").alias("needle")), p.select(F.col("_pk").alias("hay_id"), F.col("_pk").alias("text")).distinct())
     loose = held.join(p, F.col("hay_id") == F.col("_pk")).select(F.col("needle_id").alias("_id"), entry)
-    found = exact.unionByName(loose).groupBy("_id").agg(F.slice(F.array_sort(F.collect_set("_p")), 1, limit).alias("people"))
+    few = first_of(exact.unionByName(loose).distinct(), ["_id"], ["_p"], limit)
+    found = few.groupBy("_id").agg(F.array_sort(F.collect_list("_p")).alias("people"))
     return c.join(found, "_id", "left").drop("_id", "_k", "_b")
 
 
@@ -160,15 +168,16 @@ def containing(needles: DataFrame, hay: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), found).distinct()
 
 
-#: Most candidates shown of one request, of hits by containment.
-SHOWN, FUZZY = 8, 10
+#: Most records taken by one request's name, by containment; most candidates shown of the web.
+NAMED, FUZZY, SHOWN = 5, 10, 8
 
 
 def resolve(requests: DataFrame, companies: DataFrame, web: DataFrame | None = None, failed: DataFrame | None = None, blocked: DataFrame | None = None) -> DataFrame:
     """requests (request_id, company_name, domain) against companies (id, canonical_name, legal_name, primary_domain): status and candidates.
 
     The first look-up that finds anything decides: by domain; by name, as given or without legal forms, against names and legal names; by
-    containment of either form in name, legal name or domain. One candidate a root domain makes EXISTING, more make AMBIGUOUS. Requests that find
+    containment of either form in name, legal name or domain. Of names the NAMED first records by id count, of containment the FUZZY first; of
+    several records one for each root domain stays, the one with the greatest id. One record, or one root, makes EXISTING, more make AMBIGUOUS. Requests that find
     nothing take web hits (request_id, rank, url, title) of public hosts that are not in blocked (domain): UNIQUE, AMBIGUOUS, or, for
     requests in failed (request_id) without hits, RESOLUTION_RETRY_PENDING; else NOT_FOUND. A name that ilike would take as a pattern
     is taken as it is, and the shown candidates are the first in order."""
@@ -180,17 +189,24 @@ def resolve(requests: DataFrame, companies: DataFrame, web: DataFrame | None = N
     by_domain = r.where("_dom <> ''").join(c, F.col("_dom") == F.col("_root")).select("request_id", F.lit(0).alias("turn"), hit.alias("hit"))
     names = c.select(F.explode(F.array_distinct(F.array_compact(F.array(F.lower("canonical_name"), F.lower("legal_name"))))).alias("_n"), hit.alias("hit"))
     asked = r.select("request_id", F.explode(F.array_distinct(F.array("_low", "_key"))).alias("_n")).where("_n <> ''")
-    exact = by_domain.unionByName(asked.join(names, "_n").select("request_id", F.lit(1).alias("turn"), "hit"))
+    exact = kept(by_domain.unionByName(asked.join(names, "_n").select("request_id", F.lit(1).alias("turn"), "hit")).distinct(), "resolve-exact")
     open_ = asked.join(exact.select("request_id").distinct(), "request_id", "left_anti").select(F.col("request_id").alias("needle_id"), F.col("_n").alias("needle"))
     fields = F.array_distinct(F.array_compact(F.array(F.lower("canonical_name"), F.lower("primary_domain"), F.lower("legal_name"))))
     hay = c.select(F.col("id").alias("hay_id"), F.explode(fields).alias("text"))
-    loose = containing(open_, hay).join(c.select(F.col("id").alias("hay_id"), hit.alias("hit")), "hay_id").select(F.col("needle_id").alias("request_id"), F.lit(2).alias("turn"), "hit")
-    found = exact.unionByName(loose).distinct()
+    loose = first_of(containing(open_, hay), ["needle_id"], ["hay_id"], FUZZY).join(c.select(F.col("id").alias("hay_id"), hit.alias("hit")), "hay_id").select(F.col("needle_id").alias("request_id"), F.lit(2).alias("turn"), "hit")
+    found = kept(exact.unionByName(loose), "resolve-hits")
     first = found.groupBy("request_id").agg(F.min("turn").alias("turn"))
-    found = found.join(first, ["request_id", "turn"])
-    # one candidate a root domain, as far as it has one
-    found = found.groupBy("request_id", F.coalesce(X.truthy(F.col("hit.root")), F.concat(F.lit("#"), F.col("hit.id").cast("string"))).alias("_r")).agg(F.max("hit").alias("hit"))
-    known = found.groupBy("request_id").agg(F.count(F.lit(1)).alias("known"), F.slice(F.array_sort(F.collect_set(F.struct("hit.id", "hit.canonical_name", "hit.primary_domain"))), 1, SHOWN).alias("hits"))
+    found = found.join(first, ["request_id", "turn"]).withColumn("_id", F.col("hit.id"))
+    by_name = first_of(found.where("turn > 0"), ["request_id"], ["_id"], FUZZY).withColumn("_no", F.row_number().over(W.partitionBy("request_id").orderBy("_id")))
+    found = found.where("turn = 0").unionByName(by_name.where((F.col("turn") == 2) | (F.col("_no") <= NAMED)).drop("_no"))
+    # one candidate a root domain; one without a root counts if it is alone
+    by_root = found.groupBy("request_id", X.truthy(F.col("hit.root")).alias("_r")).agg(F.max("hit").alias("hit"), F.count(F.lit(1)).alias("n"))
+    known = by_root.groupBy("request_id").agg(
+        F.sum("n").alias("records"), F.count("_r").alias("roots"),
+        F.array_sort(F.collect_list(F.when(F.col("_r").isNotNull(), F.struct("hit.id", "hit.canonical_name", "hit.primary_domain")))).alias("hits"), F.max("hit").alias("only"),
+    )
+    known = known.withColumn("hits", F.when(F.col("records") == 1, F.array(F.struct("only.id", "only.canonical_name", "only.primary_domain"))).otherwise(F.col("hits")))
+    known = known.select("request_id", "hits", F.when((F.col("records") == 1) | (F.col("roots") == 1), 1).otherwise(2).alias("known"))
     out = r.join(known, "request_id", "left").withColumn("known", F.coalesce("known", F.lit(0)))
     n, status = F.col("known"), F.when(F.col("known") == 1, "EXISTING").when(F.col("known") > 1, "AMBIGUOUS")
     if web is None:
@@ -200,7 +216,8 @@ def resolve(requests: DataFrame, companies: DataFrame, web: DataFrame | None = N
     if blocked is not None:
         w = w.join(blocked.select(F.lower("domain").alias("_root")).distinct(), "_root", "left_anti")
     title = F.coalesce(X.truthy(F.col("title")), F.initcap(F.substring_index("_root", ".", 1)))
-    seen = w.groupBy("request_id").agg(F.count(F.lit(1)).alias("on_web"), F.slice(F.array_sort(F.collect_list(F.struct("rank", title.alias("canonical_name"), F.col("_root").alias("domain")))), 1, SHOWN).alias("web_hits"))
+    w = w.withColumn("_no", F.row_number().over(W.partitionBy("request_id").orderBy("rank", "_root")))
+    seen = w.groupBy("request_id").agg(F.count(F.lit(1)).alias("on_web"), F.array_sort(F.collect_list(F.when(F.col("_no") <= SHOWN, F.struct("rank", title.alias("canonical_name"), F.col("_root").alias("domain"))))).alias("web_hits"))
     out = out.join(seen, "request_id", "left").withColumn("on_web", F.coalesce("on_web", F.lit(0)))
     lost = F.lit(False)
     if failed is not None:
@@ -234,8 +251,10 @@ CELLS, SAMPLE, TRIED, RECALL = 32, 8192, 256, 0.95
 
 def _packed(rows: DataFrame, cell: str, number: Column, key: str, vector: str, keys: str, values: str) -> DataFrame:
     """rows packed by (cell, number): one row with the keys and one long array of the vectors' numbers."""
-    g = rows.groupBy(F.col(cell).alias("cell"), number.alias("_no")).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))).alias("p"))
-    return g.select("cell", F.col("p.k").alias(keys), F.flatten("p.v").alias(values))
+    v = F.col(vector)  # null, empty and broken vectors are like none; those of unequal lengths never meet
+    rows = rows.where(v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, F.isnull))
+    g = rows.groupBy(F.col(cell).alias("cell"), F.size(v).alias("dims"), number.alias("_no")).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))).alias("p"))
+    return g.select("cell", "dims", F.col("p.k").alias(keys), F.flatten("p.v").alias(values))
 
 
 def _block_best(k: int):
@@ -265,7 +284,7 @@ def _block_best(k: int):
 def _best(packs: DataFrame, blocks: DataFrame, k: int, key: str) -> DataFrame:
     """The k best of each query over the pairs of packs (cell, keys, rows) and blocks (cell, ids, vectors) of one cell."""
     kind = lambda df, c: df.schema[c].dataType.elementType.simpleString()
-    met = packs.join(blocks, "cell").select("keys", "rows", "ids", "vectors")
+    met = packs.join(blocks, ["cell", "dims"]).select("keys", "rows", "ids", "vectors")
     some = met.mapInArrow(_block_best(k), f"query_id {kind(blocks, 'ids')}, key {kind(packs, 'keys')}, score double")
     some = some.withColumnRenamed("key", key)
     w = W.partitionBy("query_id").orderBy(F.col("score").desc(), key)

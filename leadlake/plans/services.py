@@ -38,13 +38,31 @@ def review_queue(t):
     return d.where("category is not null").orderBy(F.col("doc_id").desc()).limit(50)
 
 
-@query("resolve_companies", "SELECT p_partkey AS request_id, CASE WHEN n IS NULL THEN 'NOT_FOUND' WHEN n = 1 THEN 'EXISTING' ELSE 'AMBIGUOUS' END AS status FROM part LEFT JOIN (SELECT s_suppkey % 50 AS k, count(*) AS n FROM supplier GROUP BY 1) ON p_partkey % 200 = k")
+_STANDIN = "'maker' || lpad((s_suppkey % 50)::VARCHAR, 4, '0') AS name, CASE WHEN s_suppkey % 50 % 3 = 0 THEN 'm' || (s_suppkey % 50) ELSE 's' || s_suppkey END AS root"
+
+
+_TWO = f"regexp_extract({_ROOT}, '([^.]+[.][^.]+)$', 1)"
+
+
+@query("resolve_companies", f"""WITH s AS (SELECT s_suppkey AS id, {_STANDIN} FROM supplier),
+r AS (SELECT p_partkey AS request_id, p_partkey % 200 AS k, p_partkey % 200 BETWEEN 150 AND 159 AS part, CASE WHEN p_partkey % 200 BETWEEN 150 AND 159 THEN 'ker00' || (p_partkey % 5) ELSE 'maker' || lpad((p_partkey % 200)::VARCHAR, 4, '0') END AS asked FROM part),
+hits AS (SELECT request_id, root, row_number() OVER (PARTITION BY request_id ORDER BY id) AS n, part FROM r JOIN s ON CASE WHEN part THEN contains(name, asked) ELSE name = asked END),
+known AS (SELECT request_id, count(DISTINCT root) AS roots FROM hits WHERE n <= CASE WHEN part THEN 10 ELSE 5 END GROUP BY 1),
+web AS (SELECT page_id // 2 * 8 % (SELECT count(*) FROM part) + 1 AS request_id, count(DISTINCT {_TWO}) AS roots FROM pages WHERE {_TWO} NOT IN ('', 'example.net') GROUP BY 1)
+SELECT r.request_id, CASE WHEN known.roots = 1 THEN 'EXISTING' WHEN known.roots > 1 THEN 'AMBIGUOUS' WHEN web.roots = 1 THEN 'UNIQUE' WHEN web.roots > 1 THEN 'AMBIGUOUS' WHEN r.request_id % 7 = 0 THEN 'RESOLUTION_RETRY_PENDING' ELSE 'NOT_FOUND' END AS status
+FROM r LEFT JOIN known USING (request_id) LEFT JOIN web USING (request_id)""")
 def resolve_companies(t):
-    """Requests resolved against companies by exact keys, then by containment for the rest."""
+    """Requests resolved against companies by name, by containment for the rest, then by pages as web hits. Companies of one name share a root domain or not."""
     name = lambda c: F.concat(F.lit("maker"), F.lpad(c.cast("string"), 4, "0"))
-    s = t("supplier").select(F.col("s_suppkey").alias("id"), name(F.col("s_suppkey") % 50).alias("canonical_name"), F.lit(None).cast("string").alias("legal_name"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".example.io")).alias("primary_domain"))
-    r = t("part").select(F.col("p_partkey").alias("request_id"), F.concat(F.upper(name(F.col("p_partkey") % 200)), F.lit(" Ltd.")).alias("company_name"), F.lit(None).cast("string").alias("domain"))
-    return J.resolve(r, s).select("request_id", "status")
+    k, p = F.col("s_suppkey"), F.col("p_partkey")
+    root = F.when(k % 50 % 3 == 0, F.concat(F.lit("www.m"), k % 50)).otherwise(F.concat(F.lit("s"), k))
+    s = t("supplier").select(k.alias("id"), name(k % 50).alias("canonical_name"), F.lit(None).cast("string").alias("legal_name"), F.concat(root, F.lit(".io")).alias("primary_domain"))
+    asked = F.when((p % 200).between(150, 159), F.concat(F.lit("KER00"), p % 5)).otherwise(F.upper(name(p % 200)))
+    r = t("part").select(p.alias("request_id"), F.concat(asked, F.lit(" Ltd.")).alias("company_name"), F.lit(None).cast("string").alias("domain"))
+    n = t("part").agg(F.count(F.lit(1)).alias("n"))
+    web = t("pages").crossJoin(F.broadcast(n)).select((F.expr("page_id div 2 * 8") % F.col("n") + 1).alias("request_id"), F.col("page_id").alias("rank"), "url", F.lit("").alias("title"))
+    blocked = web.sparkSession.createDataFrame([("example.net",)], "domain string")
+    return J.resolve(r, s, web, t("part").where(p % 7 == 0).select(p.alias("request_id")), blocked).select("request_id", "status")
 
 
 @query("investigation_decisions", """SELECT c_custkey AS request_id, CASE WHEN c_custkey % 11 = 0 THEN 'REJECTED_BLOCKED' WHEN o_orderstatus = 'F' AND o_orderdate > TIMESTAMP '1998-06-08' THEN 'CACHE_HIT' WHEN o_orderstatus = 'P' THEN 'ALREADY_RUNNING' ELSE 'AGENT1_QUEUED' END AS decision

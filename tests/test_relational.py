@@ -231,3 +231,27 @@ def test_top_k_ties_and_zero_vectors(spark):
     q = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0])], "query_id int, query array<double>")
     assert [tuple(r) for r in J.top_k(df, q, 3, block=4).orderBy("rank").collect()] == [(1, 0, 1.0, 1), (1, 1, 1.0, 2), (1, 2, 1.0, 3)]
     assert df.select(E.cosine(F.col("embedding"), F.array(*[F.lit(0.0)] * 2)).alias("c")).first().c is None
+
+
+def test_resolve_folds_roots_and_bounds_hits(spark):
+    """Two records of one root are one company; many records that hold a letter keep the first ten; records without a root count only alone."""
+    rows = [(1, "Same", None, "www.same.io"), (2, "Same", None, "shop.same.io"), (3, "Bare", None, None), (4, "Twice", None, None), (5, "Twice", None, "t.io")]
+    rows += [(100 + i, f"xq firm {i}", None, f"f{i}.com") for i in range(300)]
+    companies = spark.createDataFrame(rows, "id int, canonical_name string, legal_name string, primary_domain string")
+    ask = spark.createDataFrame([(1, "SAME Ltd.", None), (2, "bare", None), (3, "Twice", None), (4, "q", None), (5, None, None)], "request_id int, company_name string, domain string")
+    got = {r.request_id: (r.status, [c.id for c in r.candidates or []]) for r in J.resolve(ask, companies).collect()}
+    assert got == {1: ("EXISTING", [2]), 2: ("EXISTING", [3]), 3: ("EXISTING", [5]), 4: ("AMBIGUOUS", list(range(100, 110))), 5: ("NOT_FOUND", [])}
+
+
+def test_top_k_passes_over_broken_vectors(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, []), (5, [1.0, 0.0, 0.0]), (6, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    q = v.selectExpr("vec_id as query_id", "embedding as query")
+    got = sorted((r.query_id, r.vec_id, r.score) for r in J.top_k(v, q, 3).collect())
+    assert got == [(1, 1, 1.0), (1, 6, 0.707107), (5, 5, 1.0), (6, 1, 0.707107), (6, 6, 1.0)]
+
+
+def test_people_do_not_depend_on_the_order_of_firms(spark):
+    c = spark.createDataFrame([("Firm %d" % (i % 7), "d%d.io" % i) for i in range(40)], "name string, domain string").repartition(5)
+    p = spark.createDataFrame([("p%d" % i, "Firm %d Ltd." % (i % 9)) for i in range(300)], "person string, company string")
+    for r in J.people_of_companies(c, p, "name", "domain", "company", 4).collect():
+        assert [x.company for x in r.people] == [r.name + " Ltd."] * 4
