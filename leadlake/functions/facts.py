@@ -150,7 +150,8 @@ def tech_words(text: Column, terms: list[str], limit: int = 8) -> Column:
 
 def prose_mails(text: Column, limit: int = 3) -> Column:
     found = F.regexp_extract_all(text, F.lit(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"), F.lit(0))
-    return F.slice(F.array_distinct(F.filter(found, lambda e: ~F.lower(e).rlike(r"example\.com|domain\.com|wixpress|sentry"))), 1, limit)
+    own = F.slice(F.array_distinct(F.filter(found, lambda e: ~F.lower(e).rlike(r"example\.com|domain\.com|wixpress|sentry"))), 1, limit)
+    return F.when(~F.contains(text, F.lit("@")), F.array().cast("array<string>")).otherwise(own)
 
 
 def own_mails(text: Column, domain: Column) -> Column:

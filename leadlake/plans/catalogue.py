@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadlake.plans import cases, companies, documents, endpoints, events, pages, services, tables  # noqa: F401  (they register their queries)
+from leadlake.plans import cases, companies, documents, endpoints, events, investigations, pages, services, streams, tables  # noqa: F401  (they register their queries)
 from leadlake.plans.registry import QUERIES, SQL
 
 

@@ -61,6 +61,7 @@ def numbered_batches(searches: DataFrame, order: list[str], key: str, size: int
     return searches.withColumn("batch_no", F.floor((F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1) / size).cast("int"))
 
 
-def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
-    """Starts a query that writes each micro-batch as a table below path, once: a batch that is written again replaces itself."""
-    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")).start()
+def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", all_now: bool = False):
+    """Starts a query that writes each micro-batch as a table below path, once: a batch that is written again replaces itself. all_now: it ends after what is there."""
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"))
+    return (w.trigger(availableNow=True) if all_now else w).start()
