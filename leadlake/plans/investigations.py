@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadlake.functions import facts as E
+from leadlake.functions import html as H
 from leadlake.functions import url as U
+from leadlake.operators import crawl as C
 from leadlake.operators import filters as R
 from leadlake.operators import investigation as V
 from leadlake.plans.pages import _PAGES, _rx
@@ -61,3 +64,21 @@ def field_investigations(t):
     paged = p.select(F.explode(F.sequence(F.col("page_id") * 4, F.col("page_id") * 4 + 3)).alias("session_id"), F.lit(3).alias("rank"), "url", none, F.lit("").alias("snippet"))
     hits = hit(1, "/about").unionByName(hit(2, "/news")).unionByName(paged)
     return V.investigate(sessions, hits, R.page_columns(p).select("url", "text"), FIELDS).select("session_id", "field", "strategy", "value", "source_url", "status")
+
+
+def site_links(pages):
+    """Links of the pages (src, dst, place, text): their own, and of each site's n-th page by number to its pages 2 n and 2 n + 1."""
+    p = pages.select("page_id", "url", U.host(F.col("url")).alias("host"), "html").withColumn("n", F.row_number().over(W.partitionBy("host").orderBy("page_id")))
+    own = p.select(F.col("url").alias("src"), F.posexplode(H.links(F.col("html"))).alias("place", "l"))
+    own = own.select("src", U.resolve(F.col("l.href"), F.col("src")).alias("dst"), "place", F.col("l.text").alias("text"))
+    child = p.select("host", F.col("n").alias("m"), F.col("url").alias("dst"))
+    tree = p.select("host", F.col("url").alias("src"), F.explode(F.array(F.col("n") * 2, F.col("n") * 2 + 1)).alias("m")).join(child, ["host", "m"])
+    return own.unionByName(tree.select("src", "dst", (F.col("m") + 100000).alias("place"), F.when(F.col("m") % 3 == 0, "contact").alias("text")))
+
+
+@query("priority_crawl")
+def priority_crawl(t):
+    """Each host crawled from its first address: eight pages at most, three links deep, the best links first."""
+    p = t("pages")
+    seeds = p.select(U.host(F.col("url")).alias("site"), "url")
+    return C.crawl(seeds, site_links(p), max_pages=8, max_depth=3)
