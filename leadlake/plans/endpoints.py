@@ -209,16 +209,25 @@ def entity_detail(t):
     return c.join(added, "id", "left").select("id", "canonical_name", F.coalesce(R.headquarters_or_null(F.col("hq")), F.lit("Unknown")).alias("headquarters"), F.coalesce("added_people", F.lit("")).alias("added_people"))
 
 
-@query("list_schemas", "SELECT * FROM (VALUES ('finance', '1.0.0', 2), ('food', '1.0.0', 1)) AS v(domain, version, fields)")
+@query("list_schemas", " UNION ALL ".join(f"SELECT '{n}' AS domain, '1.0.0' AS version, CAST((SELECT count(*) FROM (DESCRIBE {n})) AS INTEGER) AS fields" for n in ("customer", "documents", "part")))
 def list_schemas(t):
-    """The schemas that are registered."""
+    """The registered schemas, one of each of a few given tables, with their numbers of fields."""
     r = readers.SchemaRegistry()
-    r.register("Food", {"name": {"type": "string"}})
-    r.register("FINANCE", {"name": {"type": "string"}, "tags": {"type": "array", "items": {"type": "string"}}})
+    for name in ("part", "Documents", "CUSTOMER"):
+        r.register(name, {f.name: {"type": "integer" if f.dataType.simpleString() in ("int", "bigint") else "string"} for f in t(name.lower()).schema})
     rows = [(n, r.schemas[n]["version"], len(r.get(n).fields)) for n in r.names()]
     return t("region").sparkSession.createDataFrame(rows, "domain string, version string, fields int")
 
 
+@query("enforced_props", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, NULL::VARCHAR AS name, CASE event_id % 3 WHEN 0 THEN 'a|b' WHEN 1 THEN 'x' ELSE '' END AS tags, json_extract_string(props, '$.k') AS said, 1 AS filled FROM events""")
+def enforced_props(t):
+    """Properties of events held to a schema: declared fields only, lists never null; and read from a reply in a code fence."""
+    schema = readers.schema_of({"properties": {"k": {"type": "integer"}, "name": {"type": "string"}, "tags": {"type": "array", "items": {"type": "string"}}}})
+    more = F.when(F.col("event_id") % 3 == 0, ', "tags": ["a","b"], "junk": 1}').when(F.col("event_id") % 3 == 1, ', "tags": "x"}').otherwise("}")
+    e = t("events").select("event_id", readers.enforce(F.concat(F.regexp_replace("props", r"\}\s*$", ""), more), schema).alias("v"), readers.reply(F.concat(F.lit("```json\n"), F.regexp_replace("props", r"\}\s*$", ', "none": ""}'), F.lit("\n```"))).alias("m"))
+    return e.select("event_id", F.col("v.k").cast("int").alias("k"), F.col("v.name").alias("name"), F.array_join("v.tags", "|").alias("tags"), F.try_element_at("m", F.lit("k")).alias("said"), F.size("m").alias("filled"))
+
+
 @query("quarantined_documents", f"SELECT doc_id, source, {_category('text')} AS category, 'QUARANTINE_AND_BLOCK' AS route FROM documents WHERE ({_category('text')}) IS NOT NULL")
 def quarantined_documents(t):
     """Documents that the moderation rules send to quarantine, with the reason."""

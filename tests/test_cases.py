@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pytest
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,31 +19,16 @@ from leadlake.functions import url as U
 from leadlake.operators import filters as R
 from leadlake.operators import resolution as V
 from leadlake.operators import scores as S
-from leadlake.plans.registry import query
 from leadlake.sources import writers
 
 Case = tuple[str, Callable[..., Column], list[tuple[tuple, str | None]]]
 
 
-def _sql(cases: list[Case]) -> str:
-    quote = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
-    rows = [f"('{item}', {n}, {quote(want)})" for item, _, own in cases for n, (_, want) in enumerate(own)]
-    return f"SELECT item, CAST(n AS INTEGER) AS n, CAST(result AS VARCHAR) AS result FROM (VALUES {', '.join(rows)}) AS t(item, n, result)"
+CASES: list[tuple[str, Callable[..., Column], list[tuple[tuple, str | None]]]] = []
 
 
 def _register(name: str, about: str, cases: list[Case]) -> None:
-    def run(t):
-        spark = t("region").sparkSession
-        a, b, c = F.col("a"), F.col("b"), F.col("c")
-        out = None
-        for item, f, own in cases:
-            rows = [(n, *(*args, None, None)[:3]) for n, (args, _) in enumerate(own)]
-            one = spark.createDataFrame(rows, "n int, a string, b string, c string").select(F.lit(item).alias("item"), "n", f(a, b, c).cast("string").alias("result"))
-            out = one if out is None else out.unionByName(one)
-        return out
-
-    run.__doc__ = about
-    query(name, _sql(cases))(run)
+    CASES.extend((f"{name[6:]}-{item}", f, own) for item, f, own in cases)
 
 
 def _words(c: Column) -> Column:
@@ -197,3 +183,10 @@ _register("cases_scores", "The scoring models: people, companies, sectors, cards
     ("SCORE-15", lambda a, b, c: _fields(V.resolve_record(F.from_json(a, "map<string,string>"), F.struct(F.lit(None).cast("string").alias("formatted"), b.alias("country")), c, F.lit(None).cast("string"), F.array().cast("array<string>"), F.lit("Software")), "country", "company_size", "company_tier", "industry"), [
         (('{"company_size":"1000+"}', None, ""), "United States|1000+|Enterprise (1000+)|Software"), (("{}", "Germany", "a team of 35"), "Germany|35|Small (11-50)|Software"), (('{"industry":"Robots","country":"uk"}', None, ""), "United Kingdom|Unknown|Unknown|Robots")]),
 ])
+
+
+@pytest.mark.parametrize("item,f,own", CASES, ids=[c[0] for c in CASES])
+def test_case(spark, item, f, own):
+    rows = [(n, *(*args, None, None)[:3]) for n, (args, _) in enumerate(own)]
+    got = spark.createDataFrame(rows, "n int, a string, b string, c string").select("n", f(F.col("a"), F.col("b"), F.col("c")).cast("string").alias("result")).orderBy("n").collect()
+    assert [r.result for r in got] == [want for _, want in own]
