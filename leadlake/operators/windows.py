@@ -62,12 +62,25 @@ def leases(df: DataFrame, key: str, ts: str, most: int, seconds: int = 90) -> Da
 def ttl_locks(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     """df with is_new: no earlier event of the key within the time to live of a lock taken by an accepted event.
 
-    A lock is taken by accepted events alone, so the rows of a key are folded in order; a key's own events must fit one task."""
-    e = df.groupBy(key).agg(F.array_sort(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp")))).alias("t"))
-    none = F.lit(-(1 << 62)).cast("long")
-    fold = F.aggregate("t", F.struct(none.alias("last"), F.array().cast("array<bigint>").alias("out")), lambda a, x: F.when(x - a["last"] >= seconds * 1_000_000, F.struct(x.alias("last"), F.array_append(a["out"], x).alias("out"))).otherwise(a))
-    taken = e.select(key, F.explode(fold["out"]).alias("_t"))
-    return taken.select(key, F.timestamp_micros("_t").cast("timestamp_ntz").alias(ts))
+    A lock is taken by accepted events alone, so the rows of a key are read in order; one time is carried from row to row, whatever a key's number of events."""
+    kind = df.schema[key].dataType.simpleString()
+    e = df.where(F.col(ts).isNotNull()).select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        at_key, free = object(), 0
+        for b in batches:
+            keep = []
+            for k, t in zip(b.column("key").to_pylist(), b.column("at").to_pylist()):
+                new = k != at_key or t >= free
+                if new:
+                    at_key, free = k, t + seconds * 1_000_000
+                keep.append(new)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    taken = e.repartition("key").sortWithinPartitions("key", "at").mapInArrow(run, f"key {kind}, at long")
+    return taken.select(F.col("key").alias(key), F.timestamp_micros("at").cast("timestamp_ntz").alias(ts))
 
 
 def stage_latency(df: DataFrame, key: str, ts: str) -> DataFrame:

@@ -8,6 +8,7 @@ from leadlake.functions import facts as E
 from leadlake.functions import text as X
 from leadlake.functions import url as U
 from leadlake.operators import filters as R
+from leadlake.operators import phrases as P
 from leadlake.operators import relational as J
 from leadlake.operators import scores as S
 from leadlake.plans.pages import _category, _rx
@@ -149,3 +150,18 @@ def document_facts(t):
     """Head counts, years, technologies and profiles from prose; held against inline texts in the tests."""
     x = F.col("text")
     return t("documents").select("doc_id", E.size_from_prose(x)["tier"].alias("tier"), E.founded_year(x).alias("founded"), F.array_join(E.tech_stack(x), ",").alias("tech"), E.headquarters(x).alias("headquarters"), U.is_company_profile(x).alias("profile"))
+
+
+_TOKENS = lambda c: rf"list_filter(string_split_regex(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+
+
+@query("phrase_sectors", f"""WITH b AS (SELECT item_id, {_TOKENS('text')} AS w FROM benchmark), p AS (SELECT DISTINCT 's' || (item_id % 8) AS sector, array_to_string(w[i:i + n - 1], ' ') AS phrase, n FROM b, range(1, 12) r(i), range(1, 4) s(n) WHERE i + n - 1 <= len(w) AND (n > 1 OR i % 4 = 0)),
+d AS (SELECT doc_id, {_TOKENS('text')} AS w FROM documents), t AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), h AS (SELECT doc_id, sector FROM (SELECT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM t, range(1, 4) s(n) WHERE i + n - 1 <= len(w)) JOIN p USING (phrase, n)),
+c AS (SELECT doc_id, sector, count(*) AS n FROM h GROUP BY ALL) SELECT doc_id, arg_min(sector, (-n, sector)) AS sector, max(n) AS score, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY doc_id""")
+def phrase_sectors(t):
+    """The sector of most phrases in each document, from a table of phrases of one to three words that the benchmark's passages give."""
+    w = P.tokens(F.col("text"))
+    b = t("benchmark").select("item_id", w.alias("w")).select("item_id", "w", F.explode(F.sequence(F.lit(1), F.lit(11))).alias("i")).select("*", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n"))
+    phrases = b.where("i + n - 1 <= size(w) and (n > 1 or i % 4 = 0)").select(F.concat(F.lit("s"), F.col("item_id") % 8).alias("sector"), F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("phrase"))
+    c = P.phrase_hits(t("documents"), phrases, "doc_id", "text", "phrase").groupBy("doc_id", "sector").agg(F.count(F.lit(1)).alias("n"))
+    return c.groupBy("doc_id").agg(F.min_by("sector", F.struct(-F.col("n"), "sector")).alias("sector"), F.max("n").alias("score"), F.sum("n").alias("total"))

@@ -14,7 +14,7 @@ from leadlake.operators import resolution as V
 from leadlake.operators import scores as S
 from leadlake.plans.pages import _HOST, _LINKS, _PAGES, _PARTS, _category, _listed
 from leadlake.plans.registry import query
-from leadlake.sources import readers
+from leadlake.sources import folders, readers
 
 _FILES = [*U.DOCUMENT_ENDINGS, *U.MEDIA_ENDINGS, ".xml", ".json", ".rss"]
 _HEAD = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(substring(html, 1, 15000), '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"""
@@ -242,3 +242,13 @@ def link_scores(t):
     e = t("pages").select("page_id", F.explode(H.links(F.col("html"))).alias("l")).select("page_id", F.col("l.href").alias("h"))
     hint = F.lower("h").rlike("about|team|leadership|management|who-we-are|contact|company|our-story|founders|board")
     return e.groupBy("page_id").agg(F.count_if(hint).alias("hints"), F.count(F.lit(1)).alias("links"), F.countDistinct(U.path(F.col("h"))).alias("paths"))
+
+
+_TABLES = ["customer", "nation", "orders", "part", "region", "supplier"]
+
+
+@query("table_files", " UNION ALL ".join(f"SELECT '{n}' AS \"table\", '{n}.parquet' AS file, count(*) AS row_count, CAST((SELECT count(*) FROM (DESCRIBE {n})) AS INTEGER) AS columns FROM {n}" for n in _TABLES))
+def table_files(t):
+    """The files of the given tables, with their rows and columns."""
+    spark = t("region").sparkSession
+    return folders.probe_tables(spark, {n: f"{t('region').inputFiles()[0].rpartition('/region.parquet')[0]}/{n}.parquet" for n in _TABLES})
