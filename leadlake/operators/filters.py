@@ -240,19 +240,26 @@ def qualify(title: Column, snippet: Column, url: Column, blocked: Column | None
         Rule("LARGE_ENTERPRISE", one > 200, says("Exceeds 200 employees (%s+)", one.cast("string"))),
     ])
     young = said.rlike(U.quoted(STARTUP))
-    size = (
-        F.when(verdict["rule_id"].isin("FRANCHISE_CHAIN"), ">200")
-        .when((verdict["rule_id"] == "LARGE_ENTERPRISE") & big.isNull() & high.isNotNull(), F.concat_ws("-", low, high))
-        .when(verdict["rule_id"] == "LARGE_ENTERPRISE", ">200").when(~verdict["keep"], "UNKNOWN")
-        .when(high.isNotNull(), F.concat_ws("-", low, high)).when(one > 1, F.concat(F.lit("1-"), one.cast("string"))).when(one.isNotNull(), "1")
-        .when(young, "UNKNOWN (Startup Indicator)").otherwise("UNKNOWN")
-    )
-    priority = (
-        F.when(verdict["rule_id"].isin("FRANCHISE_CHAIN", "LARGE_ENTERPRISE"), "DEPRIORITIZED").when(~verdict["keep"], "REJECTED")
-        .when((high <= 200) | (one <= 200) | young, "HIGH").otherwise("NORMAL")
-    )
-    kind = F.when(verdict["keep"], "COMPANY").otherwise(verdict["rule_id"])
-    return F.struct(verdict["keep"].alias("qualified"), verdict["rule_id"].alias("rule_id"), verdict["reason"].alias("reason"), kind.alias("candidate_type"), size.alias("company_size"), priority.alias("priority"))
+    known = F.struct(verdict.alias("v"), big.isNull().alias("no_name"), low.alias("low"), high.alias("high"), one.alias("one"), young.alias("young"))
+
+    def described(k: Column) -> Column:
+        rule, keep = k["v"]["rule_id"], k["v"]["keep"]
+        span = F.concat_ws("-", k["low"], k["high"])
+        size = (
+            F.when(rule.isin("FRANCHISE_CHAIN"), ">200").when((rule == "LARGE_ENTERPRISE") & k["no_name"] & k["high"].isNotNull(), span)
+            .when(rule == "LARGE_ENTERPRISE", ">200").when(~keep, "UNKNOWN")
+            .when(k["high"].isNotNull(), span).when(k["one"] > 1, F.concat(F.lit("1-"), k["one"].cast("string"))).when(k["one"].isNotNull(), "1")
+            .when(k["young"], "UNKNOWN (Startup Indicator)").otherwise("UNKNOWN")
+        )
+        priority = (
+            F.when(rule.isin("FRANCHISE_CHAIN", "LARGE_ENTERPRISE"), "DEPRIORITIZED").when(~keep, "REJECTED")
+            .when((k["high"] <= 200) | (k["one"] <= 200) | k["young"], "HIGH").otherwise("NORMAL")
+        )
+        kind = F.when(keep, "COMPANY").otherwise(rule)
+        return F.struct(keep.alias("qualified"), rule.alias("rule_id"), k["v"]["reason"].alias("reason"), kind.alias("candidate_type"), size.alias("company_size"), priority.alias("priority"))
+
+    # inside a lambda, so that the rules are evaluated once, not at each use of their verdict
+    return F.get(F.transform(F.array(known), described), F.lit(0))
 
 
 def classify_url(url: Column) -> Column:

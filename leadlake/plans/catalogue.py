@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadlake.plans import companies, documents, endpoints, events, facts, investigations, pages, services, streams, tables  # noqa: F401  (they register their queries)
+from leadlake.plans import companies, documents, endpoints, events, facts, investigations, pages, services, streams, tables, verdicts  # noqa: F401  (they register their queries)
 from leadlake.plans.registry import QUERIES, SQL
 
 
