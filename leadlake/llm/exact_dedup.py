@@ -1,7 +1,8 @@
 """Exact dedup by a log-structured merge index of text digests. DataFrame operations only.
 
 Memtable: the digests of one input task. Flush: each memtable is folded to one entry for each digest and written as a sorted run with
-Parquet Bloom filters, which serve look-ups of single digests (lookup); the merge reads all runs. Compaction: the runs merge into one sorted level that
+Parquet Bloom filters, which serve look-ups of single digests (lookup). Compaction: FAN runs at a time merge into one run of the next level, each
+level a written, sorted table with filters of its own, until at most FAN are left; these merge into the last level, which
 holds, for each digest, the identifier that stays and the group's size. Hits (digests of more than one row) are verified byte by byte: one bitmap
 filter of bounded size over hit digests stands in for the runs' filters there and picks the rows whose texts must travel, and a group is one text
 exactly if its least and greatest texts are equal, which partial aggregation finds without gathering the group. Digests shared by different texts are then regrouped by the texts themselves.
@@ -21,6 +22,8 @@ from leadlake.llm._common import bitmap, body, boxed, cut, maybe_in, number, tas
 #: Filters of the runs and the level, for look-ups of single digests.
 _BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.max.bytes": "1048576"}
 
+FAN = 64  # runs that one merge takes
+
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
@@ -31,16 +34,32 @@ def _slot() -> Column:
     return F.xxhash64("digest").alias("slot")
 
 
+def _merged(entries: DataFrame, *by: str) -> DataFrame:
+    """One entry for each digest: the identifier that stays (of repeated rows the first one's) and how many rows there are."""
+    return entries.groupBy(*by, "digest").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
+
+
+def levels(log: DataFrame) -> list[DataFrame]:
+    """log (doc_id, digest, run, pos), a written table -> the levels (run, digest, best, n), the flushed runs first, each with at most 1 / FAN of the
+    runs of the one before; the last has at most FAN runs."""
+    entry = F.struct(F.col("doc_id").alias("id"), (-F.col("pos")).alias("neg")).alias("best")
+    flushed = _merged(log.select("run", "digest", entry, F.lit(1).cast("long").alias("n")), "run")
+    out = [cut(flushed.sortWithinPartitions("run", "digest"), "lsm-run", **_BLOOM)]
+    many = (log.agg(F.max("run")).first()[0] or 0) + 1
+    while many > FAN:
+        many = -(-many // FAN)
+        next_ = _merged(out[-1].withColumn("run", F.expr(f"cast(run div {FAN} as int)")), "run")
+        out.append(cut(next_.coalesce(tasks(log)).sortWithinPartitions("run", "digest"), f"lsm-level-{len(out)}", **_BLOOM))
+    return out
+
+
 def index(docs: DataFrame, digest=sha256) -> DataFrame:
     """One row for each row of docs: doc_id, digest, keep_id, group_size, kept."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
     rows = rows.withColumn("digest", digest(F.col("text")))
     log = cut(rows.select("doc_id", "digest", F.spark_partition_id().alias("run"), F.monotonically_increasing_id().alias("pos")), "lsm-log")
-    entry = F.struct(F.col("doc_id").alias("id"), (-F.col("pos")).alias("neg"))
-    runs = cut(log.groupBy("run", "digest").agg(F.max(entry).alias("best"), F.count(F.lit(1)).alias("n")).sortWithinPartitions("digest"), "lsm-run", **_BLOOM)
     n = tasks(log)
-    level = runs.groupBy("digest").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
-    hits = cut(level.where("n > 1").coalesce(n).sortWithinPartitions("digest"), "lsm-level", **_BLOOM)
+    hits = cut(_merged(levels(log)[-1]).where("n > 1").coalesce(n).sortWithinPartitions("digest"), "lsm-hits", **_BLOOM)
     probes = maybe_in(rows.select("*", _slot()), "slot", bitmap(hits.select(_slot()), "slot"))
     verified = probes.groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
     clash = cut(verified.where("lo <> hi").select("digest"), "lsm-clash", n)

@@ -9,6 +9,8 @@ buckets are dropped by a bitmap of all keys in use, of at most 2**BITMAP_BITS bi
 All pairs of a bucket are never written. First each row is compared with its bucket's least fingerprint; the components of these links
 are found; then only rows outside their bucket's largest component are compared with the bucket's other components, which finds every link that
 joins two components. No link is lost: a pair in one component is already joined, and of a pair in two components one row is outside the largest.
+Buckets in which that would be many comparisons are parted again by the bits outside their part: these fall into DISTANCE + 1 groups, of which
+linked rows agree wholly in one. What is still large is compared in cells of bounded size (cells.py).
 
 Defined results: A-Z alone are lowered; no words gives fingerprint zero, linked like any other; null text is empty; null doc_id never names a
 component; repeated rows share their component; an empty table gives an empty result; other columns are left alone.
@@ -22,10 +24,11 @@ from itertools import accumulate, combinations, repeat
 from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.llm._common import body, boxed, cut, lean, number, tasks
+from leadlake.llm.cells import meet
 from leadlake.llm.graph import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -33,6 +36,7 @@ SAMPLE = 2048  # fingerprints looked at to estimate candidates
 BITMAP_BITS = 27  # a part's bitmap has about 256 bits for each fingerprint, but no more than 2**27: 16 MB
 #: What a row costs, in comparisons of two fingerprints: standing in a bucket, a probe made, one that passes the bitmap, one that meets a row.
 OWN, MADE, PASSED, HIT = 5.0, 0.025, 2.0, 8.0
+DEEP = 1 << 22  # comparisons from which on a bucket is parted by its other bits; it moves cost, never results
 BLOCK_BYTES = 1 << 19  # text whose words stand in one list
 _GAP = re.compile(rb"[\x20\x09-\x0D]").search
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -230,6 +234,17 @@ def _signer(p: Plan, maps: dict[int, tuple[int, bytes]]):
     return run
 
 
+def _deeper(p: Plan, distance: int) -> Column:
+    """The further keys of a row (part, fp): hashes of distance + 1 groups of the bits outside its part. Linked rows share one of them at least."""
+    masks = []
+    for bits in p.parts:
+        rest = [b for b in range(64) if b not in bits]
+        groups = [sum(1 << b for b in rest[j :: distance + 1]) for j in range(distance + 1)]
+        masks.append(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in groups]))
+    own = F.element_at(F.array(*masks), F.col("part").cast("int") + 1)
+    return F.transform(own, lambda m, j: F.xxhash64(j, F.col("fp").bitwiseAND(m)))
+
+
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """fps (fp), distinct -> (a, b): links of at most distance bits that join all fingerprints that any such links join."""
     sample = np.array([r.fp for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
@@ -245,12 +260,15 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     comp = components(star, "simhash-cc").withColumnRenamed("v", "fp")
     labelled = cut(live.drop("head").join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "simhash-labelled", n)
     sizes = labelled.groupBy(*bucket, "comp").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("probe")).alias("own"))
-    mixed = sizes.groupBy(*bucket).agg(F.count(F.lit(1)).alias("comps"), F.sum("own").alias("own"), F.max(F.struct("n", "comp")).alias("most"))
-    mixed = cut(mixed.where("comps > 1 and own > 0").select(*bucket, F.col("most.comp").alias("main")), "simhash-mixed", n)
-    left = labelled.join(mixed, bucket).where("comp <> main").select(*bucket, F.col("fp").alias("a"), F.col("comp").alias("ca"), F.col("probe").alias("pa"))
-    right = labelled.join(mixed.select(*bucket), bucket, "left_semi").select(*bucket, F.col("fp").alias("b"), F.col("comp").alias("cb"), F.col("probe").alias("pb"))
-    on = (left.part == right.part) & (left.key == right.key) & (F.col("ca") != F.col("cb")) & ~(F.col("pa") & F.col("pb")) & close("a", "b")
-    cross = cut(left.join(right, on).select("a", "b"), "simhash-cross", n)
+    mixed = sizes.groupBy(*bucket).agg(F.count(F.lit(1)).alias("comps"), F.sum("own").alias("own"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"))
+    made = (F.col("n") - F.col("most.n")).cast("double") * F.col("n")
+    mixed = cut(mixed.where("comps > 1 and own > 0").select(*bucket, F.col("most.comp").alias("main"), (made > DEEP).alias("deep")), "simhash-mixed", n)
+    at = labelled.join(mixed, bucket).withColumn("sub", F.explode(F.when(F.col("deep"), _deeper(p, distance)).otherwise(F.array(F.lit(0).cast("long")))))
+    at = cut(at.select(*bucket, "sub", "fp", "comp", "probe", "main"), "simhash-open", n)
+    left = at.where("comp <> main").select(*bucket, "sub", F.col("fp").alias("a"), F.col("comp").alias("ca"), F.col("probe").alias("pa"))
+    right = at.select(*bucket, "sub", F.col("fp").alias("b"), F.col("comp").alias("cb"), F.col("probe").alias("pb"))
+    on = (F.col("ca") != F.col("cb")) & ~(F.col("pa") & F.col("pb")) & close("a", "b")
+    cross = cut(meet(left, right, [*bucket, "sub"], ("a", "b"), on, "simhash", n).select("a", "b"), "simhash-cross", n)
     return star.unionByName(cross)
 
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from leadlake.llm import exact_dedup, graph, line_dedup, simhash
+from leadlake.llm import cells, exact_dedup, graph, line_dedup, simhash
 
 
 def by_text(rows):
@@ -51,6 +51,24 @@ def test_op5_verifies_bytes_when_digests_collide(odd, odd_rows):
     assert sum(r.kept for r in got) == len(groups)
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_op5_merges_level_by_level(spark, odd, odd_rows, monkeypatch, fan):
+    """Each level holds each digest of a run once, in at most 1 / FAN of the runs before, and loses no row; look-ups find a text's entry in each."""
+    monkeypatch.setattr(exact_dedup, "FAN", fan)
+    docs = odd.repartition(11)
+    got = sorted((str(r.doc_id), r.text_sha256, str(r.keep_id), r.group_size, r.kept) for r in exact_dedup.op5(docs).collect())
+    monkeypatch.setattr(exact_dedup, "FAN", 64)
+    assert got == sorted((str(r.doc_id), r.text_sha256, str(r.keep_id), r.group_size, r.kept) for r in exact_dedup.op5(docs).collect())
+    monkeypatch.setattr(exact_dedup, "FAN", fan)
+    log = docs.selectExpr("doc_id", "unhex(sha2(coalesce(text, ''), 256)) as digest", "spark_partition_id() as run", "monotonically_increasing_id() as pos")
+    made = exact_dedup.levels(log.cache())
+    runs = [t.select("run").distinct().count() for t in made]
+    assert len(made) > 2 and runs[0] > fan and runs[-1] <= fan and all(b <= -(-a // fan) + 1 for a, b in zip(runs, runs[1:]))
+    for t in made:
+        assert t.count() == t.select("run", "digest").distinct().count() and t.agg({"n": "sum"}).first()[0] == len(odd_rows)
+        assert exact_dedup.lookup(t, ["word"]).agg({"n": "sum"}).first()[0] == 1 and exact_dedup.lookup(t, ["nowhere"]).count() == 0
+
+
 def test_op5_survivors_and_empty(odd, odd_rows, none):
     left = exact_dedup.survivors(odd)
     assert left.columns == odd.columns
@@ -148,6 +166,50 @@ def test_op9_empty(none):
     assert simhash.op9(none).collect() == [] and simhash.survivors(none).collect() == []
 
 
+@pytest.mark.parametrize(("deep", "side"), [(0, 8192), (0, 5), (1 << 22, 5)])
+def test_large_buckets_in_cells_and_by_further_bits_lose_no_link(spark, monkeypatch, deep, side):
+    """One bucket of many components: 1,500 prints that share 16 bits, pairs and chains among them; with small cells, with further keys, with both."""
+    monkeypatch.setattr(simhash, "DEEP", deep)
+    monkeypatch.setattr(cells, "SIDE", side)
+    rng = random.Random(3)
+    fps = set()
+    for _ in range(600):
+        x = rng.getrandbits(48) << 16 | 0xBEEF
+        fps.add(x)
+        for _ in range(rng.choice([0, 1, 3])):
+            for b in rng.sample(range(16, 64), rng.randint(1, 5)):
+                x ^= 1 << b
+            fps.add(x)
+    fps = sorted(fps)
+    bits = tuple(tuple(range(16 * i, 16 * i + 16)) for i in range(4))
+    monkeypatch.setattr(simhash, "plan", lambda s, n, d=4: simhash.Plan(bits, (1, 0, 0, 0)))
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    edges = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"))
+    comp = {r.v: r.comp for r in graph.components(edges).collect()}
+    groups = lambda names: sorted(sorted(g) for g in _by(names))
+    assert groups([comp.get(s, s) for s in signed]) == groups(slow_components(list(range(len(fps))), fps))
+
+
+def _by(names):
+    out = defaultdict(set)
+    for i, c in enumerate(names):
+        out[c].add(i)
+    return out.values()
+
+
+def test_cells_are_a_plain_join_and_bounded(spark, monkeypatch):
+    """A hot key on both sides, null keys, a key of one side only: the join's rows; no cell holds more than a few times SIDE rows."""
+    monkeypatch.setattr(cells, "SIDE", 20)
+    key = lambda i: None if i % 50 == 0 else 0 if i % 3 else i % 7
+    left = spark.createDataFrame([(key(i), i) for i in range(600)] + [(99, 1000)], "k long, a long")
+    right = spark.createDataFrame([(key(i), i) for i in range(500)] + [(98, 2000)], "k long, b long")
+    on = F.col("a") % 5 != F.col("b") % 5
+    got = sorted(map(tuple, cells.meet(left, right, ["k"], ("a", "b"), on, "t").collect()))
+    assert got == sorted(map(tuple, left.join(right, "k").where(on).collect())) and got
+    none = left.limit(0)
+    assert cells.meet(none, right, ["k"], ("a", "b"), on, "t").collect() == []
+
+
 @pytest.mark.parametrize("limits", [None, (2, 1), (1, 2), (1, 1, 0), (2, 1, -1), (0, 0, 0, 0, 0)])
 def test_links_join_dense_and_chained_fingerprints(spark, monkeypatch, limits):
     """A ball of close prints, a chain of steps of four bits, pairs at distances 4 and 5, zero; by the planned and by other thresholds."""

@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 
 import corpus_pipeline
-from leadlake.llm import resemblance
+from leadlake.llm import cells, resemblance
 
 
 def slow_set(text):
@@ -58,7 +58,10 @@ def near_rows(odd_rows):
     return out
 
 
-def test_components_are_those_of_brute_force(spark, near_rows):
+@pytest.mark.parametrize("side", [8192, 3])
+def test_components_are_those_of_brute_force(spark, near_rows, monkeypatch, side):
+    monkeypatch.setattr(cells, "SIDE", side)
+    monkeypatch.setattr(resemblance, "FEW", 2 if side > 3 else 1e9)  # all components are compared after the first turn
     docs = spark.createDataFrame(near_rows, "doc_id long, text string").repartition(3)
     got = sorted((str(r.doc_id), str(r.component_id)) for r in resemblance.near_duplicates(docs).collect())
     want = slow_components(near_rows)
