@@ -7,15 +7,20 @@ deadline (sessions), n rows (rings), a counter and a sum (batches). Rows with a
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from leadlake.operators.states import FINAL, NEXT
 
+# the process that asks a processor for its states gets no shipped packages: processors travel whole, not by the name of this module
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def prepared(spark: SparkSession) -> SparkSession:
     """The session with the state store that list states and timers need."""

@@ -97,3 +97,16 @@ def test_rings_and_numbered_batches_over_a_restart(spark, tmp_path):
     numbered = jobs.numbered_batches(spark.createDataFrame(rows, schema), ["ts", "id"], "k", 25)
     want = {(r.k, r.batch_no, 25, r.y) for r in numbered.groupBy("k", "batch_no").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("y")).where("n = 25").collect()}
     assert {(r.key, r.batch_no, r.searches, r["yield"]) for r in spark.read.parquet(str(tmp_path / "nums")).collect()} == want and len(want) == 15
+
+
+@pytest.mark.parametrize("processor", [stateful._Locks(1), stateful._Sessions(1, "AGENT2_QUEUED", 20), stateful._Ring(3), stateful._Numbers(5)])
+def test_processors_load_where_the_package_is_absent(processor, tmp_path):
+    """The process on the driver that asks a processor for its states gets neither shipped packages nor the driver's path."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    code = "import sys, pickle; pickle.loads(sys.stdin.buffer.read()); assert 'leadlake' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, input=cloudpickle.dumps(processor), check=True, env={**os.environ, "PYTHONPATH": ""})
