@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leadlake.functions import text as X
 from leadlake.functions import url as U
+from leadlake.operators.ladder import let
 
 #: employers' words, executives' words, slugs, weights and thresholds.
 EXECUTIVE = ["founder", "ceo", "cto", "coo", "cfo", "chief", "president", "director", "head of", "vp", "executive"]
@@ -42,45 +43,63 @@ def _word_in(text: Column, word: Column) -> Column:
 
 
 def person_match(name: Column, role: Column, company: Column, domain: Column, evidence: Column, profile: Column, source: Column, page: Column) -> Column:
-    """struct(status, score, signals, reason): how surely a person belongs to a company."""
-    n, c, d = _text(name), F.lower(_text(company)), U.canonical_domain(F.coalesce(domain, F.lit("")))
-    brand = F.when(d != "", F.lower(U.brand(d))).otherwise("")
-    own = F.when(F.contains(c, F.lit(".")), F.lower(U.brand(c))).otherwise(c)
-    label = F.substring_index(d, ".", 1)
-    said = _text(evidence)
-    all_ = F.lower(F.concat_ws(" ", said, F.coalesce(source, F.lit(""))))
-    has = lambda t, w: (w == "") | F.contains(t, w)  # noqa: E731  an empty name is in everything
-    other = F.lower(F.trim(F.regexp_extract(said, r"(?:at|@|founder\s+of|ceo\s+(?:at|of)|coo\s+(?:at|of)|cto\s+(?:at|of))\s+([A-Z][A-Za-z0-9\s&]{2,30})", 1)))
-    same = has(other, c) | has(other, own) | has(other, brand) | ((label != "") & F.contains(other, label)) | F.contains(c, other) | F.contains(own, other) | F.contains(brand, other)
-    elsewhere = (other != "") & ~same
-    absent = ~has(all_, c) & ~has(all_, own) & ~has(all_, brand) & ((d == "") | ~F.contains(all_, d))
-    conflict = elsewhere & ~absent
+    """struct(status, score, signals, reason): how surely a person belongs to a company. Each step names its values once, so that the
+    expression does not grow with how often the next one reads them."""
+    c, d = F.lower(_text(company)), U.canonical_domain(F.coalesce(domain, F.lit("")))
     slug = F.lower(F.regexp_extract(F.coalesce(X.truthy(profile), source, F.lit("")), r"(?i)https?://(?:[a-z0-9\-]+\.)?linkedin\.com/in/([a-z0-9\-_]{2,})", 1))
-    linked = (slug != "") & ~slug.isin(PROFILE_NOT)
+    given = F.struct(_text(name).alias("n"), F.lower(role).alias("role"), c.alias("c"), d.alias("d"), _text(evidence).alias("said"), F.coalesce(source, F.lit("")).alias("source"), slug.alias("slug"), F.lower(page).alias("page"))
+    return let(given, lambda g: let(_names(g), lambda v: let(_findings(g, v), lambda f: _judged(g, v, f))))
+
+
+def _names(g: Column) -> Column:
+    """What the company is called, what the evidence says, and another employer that it names."""
+    c, d = g["c"], g["d"]
+    other = F.lower(F.trim(F.regexp_extract(g["said"], r"(?:at|@|founder\s+of|ceo\s+(?:at|of)|coo\s+(?:at|of)|cto\s+(?:at|of))\s+([A-Z][A-Za-z0-9\s&]{2,30})", 1)))
+    return F.struct(
+        F.when(d != "", F.lower(U.brand(d))).otherwise("").alias("brand"), F.when(F.contains(c, F.lit(".")), F.lower(U.brand(c))).otherwise(c).alias("own"),
+        F.substring_index(d, ".", 1).alias("label"), F.lower(F.concat_ws(" ", g["said"], g["source"])).alias("all"), other.alias("other"),
+    )
+
+
+def _findings(g: Column, v: Column) -> Column:
+    c, d, all_, other = g["c"], g["d"], v["all"], v["other"]
+    has = lambda t, w: (w == "") | F.contains(t, w)  # noqa: E731  an empty name is in everything
+    names = [c, v["own"], v["brand"]]
+    same = reduce(lambda a, b: a | b, [has(other, w) | F.contains(w, other) for w in names]) | ((v["label"] != "") & F.contains(other, v["label"]))
+    absent = reduce(lambda a, b: a & b, [~has(all_, w) for w in names]) & ((d == "") | ~F.contains(all_, d))
     parts = F.filter(F.split(c, r"[\s.\-]+"), lambda w: (F.length(w) >= 3) & ~w.isin(NAME_NOT))
-    parts = F.concat(parts, F.filter(F.array(label, own), lambda w: F.length(w) >= 3))
-    by_domain = (d != "") & F.contains(all_, d)
-    by_name = ~by_domain & F.exists(parts, lambda w: _word_in(all_, w))
-    by_brand = ~by_domain & ~by_name & (brand != "") & _word_in(all_, brand)
-    mentioned = by_domain | by_name | by_brand
-    on_page = F.coalesce((n != "") & F.contains(F.lower(page), F.lower(n)), F.lit(False))
-    exec_ = F.coalesce(F.lower(role).rlike(U.quoted(EXECUTIVE)), F.lit(False))
-    raw = _sum(_if(linked, 0.35), F.when(by_domain, F.when(conflict, 0.10).otherwise(0.40)).when(by_name | by_brand, F.when(conflict, 0.10).otherwise(0.35)).otherwise(0.0), _if(on_page, 0.30), _if(exec_, 0.15))
-    score = F.round(F.least(F.lit(1.0), raw), 2)
-    score = F.when(conflict & ~on_page, F.least(F.lit(0.65), score)).otherwise(score)
-    unbacked = ~mentioned & ~on_page
-    score = F.when(unbacked, F.least(F.lit(0.40), score)).otherwise(score)
-    recipe = F.contains(F.lower(n), F.lit("good food")) | all_.rlike("recipe|cooking")
-    bad_name = (F.length(n) < 3) | F.lower(n).isin(X.GENERIC_TITLES)
-    final = F.when(bad_name, 0.0).when(recipe, 0.05).when(elsewhere & absent, 0.15).otherwise(score)
-    status = F.when(bad_name | recipe | (elsewhere & absent) | unbacked, "REJECTED").when(score >= 0.90, "VERIFIED").when(score >= 0.75, "HIGH_CONFIDENCE").when(score >= 0.50, "REVIEW").otherwise("REJECTED")
+    parts = F.concat(parts, F.filter(F.array(v["label"], v["own"]), lambda w: F.length(w) >= 3))
+    where = F.when((d != "") & F.contains(all_, d), "domain").when(F.exists(parts, lambda w: _word_in(all_, w)), "name").when((v["brand"] != "") & _word_in(all_, v["brand"]), "brand").otherwise("")
+    return F.struct(
+        ((other != "") & ~same).alias("elsewhere"), absent.alias("absent"), where.alias("where"), ((g["slug"] != "") & ~g["slug"].isin(PROFILE_NOT)).alias("linked"),
+        F.coalesce((g["n"] != "") & F.contains(g["page"], F.lower(g["n"])), F.lit(False)).alias("on_page"), F.coalesce(g["role"].rlike(U.quoted(EXECUTIVE)), F.lit(False)).alias("exec"),
+        (F.contains(F.lower(g["n"]), F.lit("good food")) | all_.rlike("recipe|cooking")).alias("recipe"), ((F.length(g["n"]) < 3) | F.lower(g["n"]).isin(X.GENERIC_TITLES)).alias("bad_name"),
+    )
+
+
+def _judged(g: Column, v: Column, f: Column) -> Column:
+    conflict = f["elsewhere"] & ~f["absent"]
+    capped, away, unbacked = conflict & ~f["on_page"], f["elsewhere"] & f["absent"], (f["where"] == "") & ~f["on_page"]
+    named = F.when(f["where"] == "", 0.0).when(conflict, 0.10).when(f["where"] == "domain", 0.40).otherwise(0.35)
+    raw = F.round(F.least(F.lit(1.0), _sum(_if(f["linked"], 0.35), named, _if(f["on_page"], 0.30), _if(f["exec"], 0.15))), 2)
+
+    def by_score(score: Column) -> Column:
+        final = F.when(f["bad_name"], 0.0).when(f["recipe"], 0.05).when(away, 0.15).otherwise(score)
+        status = F.when(f["bad_name"] | f["recipe"] | away | unbacked, "REJECTED").when(score >= 0.90, "VERIFIED").when(score >= 0.75, "HIGH_CONFIDENCE").when(score >= 0.50, "REVIEW").otherwise("REJECTED")
+        return F.struct(status.alias("status"), final.alias("score"))
+
     signals = F.array_compact(F.array(
-        F.when(linked, F.lit("genuine_linkedin_profile")), F.when(by_domain, F.concat(F.lit("exact_domain_in_evidence("), d, F.lit(")"))), F.when(by_name, F.lit("company_name_in_evidence")),
-        F.when(by_brand, F.concat(F.lit("brand_in_evidence("), brand, F.lit(")"))), F.when(on_page, F.lit("person_named_on_official_website")), F.when(exec_, F.lit("verified_executive_role")),
-        F.when(conflict & ~on_page, F.concat(F.lit("capped_other_employer("), other, F.lit(")"))),
+        F.when(f["linked"], F.lit("genuine_linkedin_profile")), F.when(f["where"] == "domain", F.concat(F.lit("exact_domain_in_evidence("), g["d"], F.lit(")"))), F.when(f["where"] == "name", F.lit("company_name_in_evidence")),
+        F.when(f["where"] == "brand", F.concat(F.lit("brand_in_evidence("), v["brand"], F.lit(")"))), F.when(f["on_page"], F.lit("person_named_on_official_website")), F.when(f["exec"], F.lit("verified_executive_role")),
+        F.when(capped, F.concat(F.lit("capped_other_employer("), v["other"], F.lit(")"))),
     ))
-    reason = F.when(bad_name, "invalid name").when(recipe, "recipe text").when(elsewhere & absent, F.concat(F.lit("works at "), other)).when(unbacked, "no evidence of the company").otherwise(F.array_join(signals, ", "))
-    return F.struct(status.alias("status"), final.alias("score"), signals.alias("signals"), reason.alias("reason"))
+    score = let(F.when(capped, F.least(F.lit(0.65), raw)).otherwise(raw), lambda s: F.when(unbacked, F.least(F.lit(0.40), s)).otherwise(s))
+
+    def told(s: Column, signals: Column) -> Column:
+        reason = F.when(f["bad_name"], "invalid name").when(f["recipe"], "recipe text").when(away, F.concat(F.lit("works at "), v["other"])).when(unbacked, "no evidence of the company").otherwise(F.array_join(signals, ", "))
+        return F.struct(s["status"].alias("status"), s["score"].alias("score"), signals.alias("signals"), reason.alias("reason"))
+
+    return let(F.struct(let(score, by_score).alias("s"), signals.alias("signals")), lambda t: told(t["s"], t["signals"]))
 
 
 def candidate_match(match: Column, profile: Column, name: Column, role: Column) -> Column:
