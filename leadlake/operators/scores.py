@@ -219,12 +219,12 @@ def worker_confidence(base: Column, name: Column, url: Column, description: Colu
 
 
 def document_tier(session_tier: Column, meta_tier: Column, text: Column, url: Column) -> Column:
-    """Size tier of a document's company: by session, by metadata, by words, else a stable share by hash."""
+    """Size tier of a document's company: by session, by metadata, by words, else a stable share by the first 32 bits of the address's md5."""
     names = ["Enterprise Leaders (1,000+)", "Mid-Market Challengers (100-1,000)", "Growth SMBs (20-100)", "Early-Stage Startups (1-20)"]
     stated = lambda c: F.when(c.rlike("1000|enterprise"), names[0]).when(c.rlike("mid|100|challenger"), names[1]).when(c.rlike("growth|smb|20"), names[2]).when(c.rlike("early|startup|seed|1-20|1-10"), names[3])
     low = F.lower(F.coalesce(text, F.lit("")))
     told = F.when(low.rlike("enterprise|global leader|fortune 500|multinational"), names[0]).when(low.rlike("mid-market|midmarket|established|challenger"), names[1]).when(low.rlike("growth|smb|series b|series a|scaling"), names[2])
-    b = F.pmod(F.xxhash64(url), F.lit(100))
+    b = F.conv(F.substring(F.md5(url.cast("binary")), 1, 8), 16, 10).cast("long") % 100
     share = F.when(b < 60, names[3]).when(b < 85, names[2]).when(b < 95, names[1]).otherwise(names[0])
     return F.coalesce(stated(F.lower(session_tier)), stated(F.lower(meta_tier)), told, share)
 

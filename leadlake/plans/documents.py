@@ -11,7 +11,7 @@ from leadlake.operators import filters as R
 from leadlake.operators import phrases as P
 from leadlake.operators import relational as J
 from leadlake.operators import scores as S
-from leadlake.plans.pages import _category, _rx
+from leadlake.plans.pages import _category, _listed, _rx
 from leadlake.plans.registry import query
 from leadlake.sources.writers import content_path
 
@@ -128,21 +128,36 @@ def query_sanitizer(t):
     return t("conversations").select("conv_id", "turn", X.sanitize_query(F.col("text")).isNotNull().alias("allowed"))
 
 
-@query("fact_check")
+_FACT = """{v} <> '' AND {v} NOT IN ({none}) AND trim({e}) <> '' AND (contains(lower({e}), {v}) OR (len({words}) > 0 AND len(list_filter({words}, lambda w: NOT contains(lower({e}), w))) = 0))"""
+_WORDS = r"list_filter(string_split_regex(v, '[^\p{L}\p{N}\p{M}\p{Pc}]+'), lambda w: length(w) > 2)"
+
+
+def _fact(evidence: str) -> str:
+    return _FACT.format(v="v", e=evidence, words=_WORDS, none=_listed(R.NO_VALUE))
+
+
+@query("fact_check", rf"""WITH b AS (SELECT item_id, text, unnest(string_split_regex(text, '[.\n]')) AS said FROM benchmark), s AS (SELECT b.item_id, lower(trim(said)) AS v, b.text AS own, o.text AS other FROM b LEFT JOIN benchmark o ON o.item_id = b.item_id - 1)
+SELECT item_id, count(*) AS sentences, CAST(count(*) FILTER (WHERE {_fact("own")}) AS BIGINT) AS own, CAST(count(*) FILTER (WHERE {_fact("other")}) AS BIGINT) AS other FROM s GROUP BY item_id""")
 def fact_check(t):
-    """Whether each benchmark passage's first words stand as evidence in the passage itself and not in another's text."""
-    b = t("benchmark").withColumn("v", F.array_join(F.slice(F.split("text", " "), 1, 4), " "))
+    """How many of each benchmark passage's sentences have evidence in the passage itself, and in the one before it."""
+    b = t("benchmark").select("item_id", "text")
     other = b.select((F.col("item_id") + 1).alias("item_id"), F.col("text").alias("evidence"))
-    j = b.join(other, "item_id", "left")
-    return j.select("item_id", R.valid_fact(F.col("v"), F.col("text"), F.lit("example.com")).alias("own"), R.valid_fact(F.col("v"), F.col("evidence"), F.lit("")).alias("other"))
+    s = b.join(other, "item_id", "left").select("*", F.explode(F.split("text", r"[.\n]")).alias("v"))
+    has = lambda e: F.count_if(R.valid_fact(F.col("v"), F.col(e), F.lit("")))
+    return s.groupBy("item_id").agg(F.count(F.lit(1)).alias("sentences"), has("text").alias("own"), has("evidence").alias("other"))
 
 
-@query("document_tiers")
+_TIERS = ["Enterprise Leaders (1,000+)", "Mid-Market Challengers (100-1,000)", "Growth SMBs (20-100)", "Early-Stage Startups (1-20)"]
+
+
+@query("document_tiers", f"""WITH d AS (SELECT lower(coalesce(text, '')) AS t, ('0x' || substr(md5('https://' || source || '.example.com/' || doc_id), 1, 8))::BIGINT % 100 AS b FROM documents)
+SELECT CASE WHEN regexp_matches(t, 'enterprise|global leader|fortune 500|multinational') THEN '{_TIERS[0]}' WHEN regexp_matches(t, 'mid-market|midmarket|established|challenger') THEN '{_TIERS[1]}'
+  WHEN regexp_matches(t, 'growth|smb|series b|series a|scaling') THEN '{_TIERS[2]}' WHEN b < 60 THEN '{_TIERS[3]}' WHEN b < 85 THEN '{_TIERS[2]}' WHEN b < 95 THEN '{_TIERS[1]}' ELSE '{_TIERS[0]}' END AS tier, count(*) AS documents FROM d GROUP BY 1""")
 def document_tiers(t):
-    """Tier by words, else by a stable hash of the address."""
-    d = t("documents")
+    """Tier by words anywhere in the text, else by a stable hash of the address."""
+    none = F.lit(None).cast("string")
     u = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.col("doc_id").cast("string"))
-    return d.groupBy(S.document_tier(F.lit(None).cast("string"), F.lit(None).cast("string"), F.substring_index("text", "\n", 1), u).alias("tier")).agg(F.count(F.lit(1)).alias("documents"))
+    return t("documents").groupBy(S.document_tier(none, none, F.col("text"), u).alias("tier")).agg(F.count(F.lit(1)).alias("documents"))
 
 
 @query("document_facts")
