@@ -47,6 +47,17 @@ def test_locks_in_any_order_of_batches(spark, tmp_path, seed):
     assert got == want and len(got) > 20
 
 
+def test_the_tables_last_events_take_their_locks(spark, tmp_path):
+    """Watermarks are whole milliseconds: the last event, and those of its millisecond, come out too."""
+    from leadlake.plans import catalogue
+
+    at = lambda micros: T0 + dt.timedelta(days=1, microseconds=micros)
+    rows = [(1, T0), (1, at(700)), (2, at(701)), (3, at(702)), (3, at(700)), (4, T0), (4, T0 + dt.timedelta(hours=1)), (None, at(702)), (5, None)]
+    spark.createDataFrame(rows, "user_id long, ts timestamp_ntz").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted((r.user_id or 0, r.ts) for r in catalogue.queries()["user_locks_stream"](spark, str(tmp_path)).collect())
+    assert got == [(0, at(702)), (1, T0), (1, at(700)), (2, at(701)), (3, at(700)), (4, T0)]
+
+
 def test_sessions_over_a_restart(spark, tmp_path):
     stateful.prepared(spark)
     at = lambda h: T0 + dt.timedelta(hours=h)
