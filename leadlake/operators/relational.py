@@ -155,15 +155,15 @@ def containing(needles: DataFrame, hay: DataFrame) -> DataFrame:
     """needles (needle_id, needle) and hay (hay_id, text) -> the pairs (needle_id, hay_id) whose text contains the needle, wherever in it.
 
     Equi-joins only: a needle is looked for by its rarest run of three characters (all of it, if it is shorter), the texts that hold that run are
-    then tested. An empty needle is in no text."""
+    then tested; one with a run that no text holds is in none. An empty needle is in no text."""
     found = []
     for n in (1, 2, 3):
         size = F.length("needle")
         some = needles.where(size == n if n < 3 else size >= n)
         held = hay.select("hay_id", "text", F.explode(_grams(F.col("text"), n)).alias("gram"))
         counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-        asked = some.select("needle_id", "needle", F.explode(_grams(F.col("needle"), n)).alias("gram")).join(counts, "gram")
-        rare = asked.groupBy("needle_id", "needle").agg(F.min(F.struct("n", "gram")).alias("r")).select("needle_id", "needle", F.col("r.gram").alias("gram"))
+        asked = some.select("needle_id", "needle", F.explode(_grams(F.col("needle"), n)).alias("gram")).join(counts, "gram", "left")
+        rare = asked.groupBy("needle_id", "needle").agg(F.min(F.struct("n", "gram")).alias("r")).where("r.n is not null").select("needle_id", "needle", F.col("r.gram").alias("gram"))
         found.append(rare.join(held, "gram").where(F.contains("text", "needle")).select("needle_id", "hay_id"))
     return reduce(lambda a, b: a.unionByName(b), found).distinct()
 
@@ -180,24 +180,32 @@ def resolve(requests: DataFrame, companies: DataFrame, web: DataFrame | None = N
     several records one for each root domain stays, the one with the greatest id. One record, or one root, makes EXISTING, more make AMBIGUOUS. Requests that find
     nothing take web hits (request_id, rank, url, title) of public hosts that are not in blocked (domain): UNIQUE, AMBIGUOUS, or, for
     requests in failed (request_id) without hits, RESOLUTION_RETRY_PENDING; else NOT_FOUND. A name that ilike would take as a pattern
-    is taken as it is, and the shown candidates are the first in order."""
+    is taken as it is, and the shown candidates are the first in order.
+
+    Each name, text and root domain is looked up once, with the records that can stay; only these meet the requests, so that many requests for a
+    name of many records make no more rows than the bounds allow."""
     name = F.trim("company_name")
     own = F.when(F.contains(name, F.lit(".")), U.root_domain(name))
     r = requests.withColumn("_key", X.company_key(name)).withColumn("_low", F.lower(name)).withColumn("_dom", F.coalesce(X.truthy(U.root_domain(F.col("domain"))), X.truthy(own)))
     c = companies.withColumn("_root", U.root_domain(F.col("primary_domain")))
     hit = F.struct(F.col("id"), F.col("canonical_name"), F.col("primary_domain"), F.col("_root").alias("root"))
-    by_domain = r.where("_dom <> ''").join(c, F.col("_dom") == F.col("_root")).select("request_id", F.lit(0).alias("turn"), hit.alias("hit"))
+    of_root = c.where("_root <> ''").groupBy(F.col("_root").alias("_dom")).agg(F.max(hit).alias("hit"))  # they share a root: the greatest stays
+    by_domain = r.select("request_id", "_dom").join(of_root, "_dom").select("request_id", F.lit(0).alias("turn"), "hit")
     names = c.select(F.explode(F.array_distinct(F.array_compact(F.array(F.lower("canonical_name"), F.lower("legal_name"))))).alias("_n"), hit.alias("hit"))
+    names = first_of(names.distinct(), ["_n"], ["hit"], NAMED)
     asked = r.select("request_id", F.explode(F.array_distinct(F.array("_low", "_key"))).alias("_n")).where("_n <> ''")
     exact = kept(by_domain.unionByName(asked.join(names, "_n").select("request_id", F.lit(1).alias("turn"), "hit")).distinct(), "resolve-exact")
-    open_ = asked.join(exact.select("request_id").distinct(), "request_id", "left_anti").select(F.col("request_id").alias("needle_id"), F.col("_n").alias("needle"))
+    open_ = asked.join(exact.select("request_id").distinct(), "request_id", "left_anti")
     fields = F.array_distinct(F.array_compact(F.array(F.lower("canonical_name"), F.lower("primary_domain"), F.lower("legal_name"))))
-    hay = c.select(F.col("id").alias("hay_id"), F.explode(fields).alias("text"))
-    loose = first_of(containing(open_, hay), ["needle_id"], ["hay_id"], FUZZY).join(c.select(F.col("id").alias("hay_id"), hit.alias("hit")), "hay_id").select(F.col("needle_id").alias("request_id"), F.lit(2).alias("turn"), "hit")
+    texts = kept(first_of(c.select(F.explode(fields).alias("text"), hit.alias("hit")).distinct(), ["text"], ["hit"], FUZZY), "resolve-texts")
+    needles = kept(open_.select("_n").distinct(), "resolve-needles").select(F.col("_n").alias("needle_id"), F.col("_n").alias("needle"))
+    held = containing(needles, texts.select(F.col("text").alias("hay_id"), "text").distinct()).select(F.col("needle_id").alias("_n"), F.col("hay_id").alias("text"))
+    held = first_of(held.join(texts, "text").select("_n", "hit").distinct(), ["_n"], ["hit"], FUZZY)
+    loose = open_.join(held, "_n").select("request_id", F.lit(2).alias("turn"), "hit").distinct()
     found = kept(exact.unionByName(loose), "resolve-hits")
     first = found.groupBy("request_id").agg(F.min("turn").alias("turn"))
-    found = found.join(first, ["request_id", "turn"]).withColumn("_id", F.col("hit.id"))
-    by_name = first_of(found.where("turn > 0"), ["request_id"], ["_id"], FUZZY).withColumn("_no", F.row_number().over(W.partitionBy("request_id").orderBy("_id")))
+    found = found.join(first, ["request_id", "turn"])
+    by_name = first_of(found.where("turn > 0"), ["request_id"], ["hit"], FUZZY).withColumn("_no", F.row_number().over(W.partitionBy("request_id").orderBy("hit")))
     found = found.where("turn = 0").unionByName(by_name.where((F.col("turn") == 2) | (F.col("_no") <= NAMED)).drop("_no"))
     # one candidate a root domain; one without a root counts if it is alone
     by_root = found.groupBy("request_id", X.truthy(F.col("hit.root")).alias("_r")).agg(F.max("hit").alias("hit"), F.count(F.lit(1)).alias("n"))

@@ -243,6 +243,20 @@ def test_resolve_folds_roots_and_bounds_hits(spark):
     assert got == {1: ("EXISTING", [2]), 2: ("EXISTING", [3]), 3: ("EXISTING", [5]), 4: ("AMBIGUOUS", list(range(100, 110))), 5: ("NOT_FOUND", [])}
 
 
+def test_resolve_looks_up_each_name_once(spark, monkeypatch):
+    """Many requests for a name, a part of one or a domain that many records have: no written table has more rows than the bounds allow."""
+    rows = [(i, f"maker{i % 3}", "Maker Group" if i % 2 else None, f"m{i}.io" if i % 3 else "www.all.io") for i in range(600)]
+    companies = spark.createDataFrame(rows, "id int, canonical_name string, legal_name string, primary_domain string").repartition(3)
+    asks = [("Maker1 Ltd.", None), ("maker0", None), ("KER", None), ("group", None), ("x", "all.io"), ("makerz", None)]
+    ask = spark.createDataFrame([(i, *asks[i % 6]) for i in range(240)], "request_id int, company_name string, domain string")
+    written, plain = {}, J.kept
+    monkeypatch.setattr(J, "kept", lambda df, name: written.setdefault(name, plain(df, name)))
+    got = {r.request_id: (r.status, [c.id for c in r.candidates or []]) for r in J.resolve(ask, companies).collect()}
+    want = [("AMBIGUOUS", [1, 4, 7, 10, 13]), ("EXISTING", [12]), ("AMBIGUOUS", [1, 2, 4, 5, 7, 8, 9]), ("AMBIGUOUS", [1, 5, 7, 11, 13, 15, 17, 19]), ("EXISTING", [597]), ("NOT_FOUND", [])]
+    assert got == {i: want[i % 6] for i in range(240)}
+    assert written["resolve-exact"].count() == 40 * (5 + 5 + 1) and written["resolve-hits"].count() == 40 * (5 + 5 + 1 + 10 + 10)
+
+
 def test_top_k_passes_over_broken_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, []), (5, [1.0, 0.0, 0.0]), (6, [1.0, 1.0])], "vec_id long, embedding array<double>")
     q = v.selectExpr("vec_id as query_id", "embedding as query")
