@@ -74,11 +74,24 @@ def tier_filter(tier: str | None, col: str) -> Column | None:
     return F.contains(F.lower(F.lit(tier)), F.lower(F.col(col))) | F.contains(F.lower(F.col(col)), F.lower(F.lit(tier)))
 
 
-def either_key(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], row_id: str) -> DataFrame:
-    """left joined to right on any of the key pairs: one equi-join for each, united, a right row once for each left row."""
-    hits = [left.join(right, left[a] == right[b]) for a, b in pairs]
-    united = reduce(lambda x, y: x.unionByName(y), hits)
-    return united.dropDuplicates([*left.columns[:1], row_id])
+def either_key(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], row_id: str | list[str]) -> DataFrame:
+    """left joined to right on any of the key pairs: one equi-join for each, united, a right row (row_id names it) once for each left row (its first column
+    names it). A pair comes from the first key that it shares, so nothing is kept to tell pairs apart. Of rows of one name the least stands for all, with the keys of all."""
+
+    def named(df: DataFrame, by: list[str], keys: list[str], side: str) -> DataFrame:
+        cols = [c for c in df.columns if c not in by]
+        rest = [F.min(F.struct(*cols)).alias("_rest")] if cols else []
+        sets = [F.collect_set(k).alias(f"_{side}{i}") for i, k in enumerate(keys)]
+        return df.groupBy(*by).agg(*rest, *sets).select(*by, *(["_rest.*"] if rest else []), *[f"_{side}{i}" for i in range(len(keys))])
+
+    l, r = named(left, left.columns[:1], [a for a, _ in pairs], "l"), named(right, [row_id] if isinstance(row_id, str) else row_id, [b for _, b in pairs], "r")
+    hits = []
+    for i in range(len(pairs)):
+        first = (F.size(f"_l{i}") == 1) | (F.size(f"_r{i}") == 1) | (F.array_min(F.array_intersect(f"_l{i}", f"_r{i}")) == F.col("_k"))
+        new = reduce(lambda x, j: x & ~F.arrays_overlap(f"_l{j}", f"_r{j}"), range(i), first)
+        x, y = l.withColumn("_k", F.explode(f"_l{i}")), r.withColumn("_k", F.explode(f"_r{i}"))
+        hits.append(x.join(y, "_k").where(new).select(*left.columns, *right.columns))
+    return reduce(lambda x, y: x.unionByName(y), hits)
 
 
 def first_match(base: DataFrame, lookups: list[tuple[DataFrame, str, str]], key: str) -> DataFrame:

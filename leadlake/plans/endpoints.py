@@ -157,9 +157,9 @@ WITH e AS (SELECT o_orderkey AS id, l_orderkey AS a, l_linenumber AS b FROM orde
 SELECT o_orderkey AS session_id, c_name AS company_name, CASE WHEN c_custkey IS NULL THEN 'NEW' ELSE 'KNOWN' END AS company_status, (SELECT count(*) FROM (SELECT DISTINCT a, b FROM e WHERE e.id = o_orderkey)) AS people FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 2 = 0""")
 def company_result(t):
     """A session with its company, and the people of either: two equi-joins, each person once."""
-    p = t("lineitem").where("l_quantity > 30").select("l_orderkey", "l_suppkey", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("person"))
+    p = t("lineitem").where("l_quantity > 30").select("l_orderkey", "l_linenumber", "l_suppkey")
     s = t("orders").select("o_orderkey", "o_custkey")
-    people = J.either_key(s, p, [("o_orderkey", "l_orderkey"), ("o_custkey", "l_suppkey")], "person").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("people"))
+    people = J.either_key(s, p, [("o_orderkey", "l_orderkey"), ("o_custkey", "l_suppkey")], ["l_orderkey", "l_linenumber"]).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("people"))
     c = t("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("company_name"))
     out = s.join(c, "o_custkey", "left").join(people, "o_orderkey", "left")
     return out.select(F.col("o_orderkey").alias("session_id"), "company_name", F.when(F.col("company_name").isNull(), "NEW").otherwise("KNOWN").alias("company_status"), F.coalesce("people", F.lit(0).cast("long")).alias("people"))

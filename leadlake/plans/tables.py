@@ -260,8 +260,8 @@ def people_by_company(t):
 @query("evidence_by_either_key", "SELECT DISTINCT o_orderkey AS session_id, l_orderkey AS line_order, l_linenumber AS line FROM orders JOIN lineitem ON l_orderkey = o_orderkey OR l_suppkey = o_custkey WHERE l_quantity > 40")
 def evidence_by_either_key(t):
     """What hangs on a session by either of two keys, once: two equi-joins, never an OR."""
-    e = t("lineitem").where("l_quantity > 40").select("l_orderkey", "l_linenumber", "l_suppkey", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_id"))
-    out = J.either_key(t("orders").select("o_orderkey", "o_custkey"), e, [("o_orderkey", "l_orderkey"), ("o_custkey", "l_suppkey")], "row_id")
+    e = t("lineitem").where("l_quantity > 40").select("l_orderkey", "l_linenumber", "l_suppkey")
+    out = J.either_key(t("orders").select("o_orderkey", "o_custkey"), e, [("o_orderkey", "l_orderkey"), ("o_custkey", "l_suppkey")], ["l_orderkey", "l_linenumber"])
     return out.select(F.col("o_orderkey").alias("session_id"), F.col("l_orderkey").alias("line_order"), F.col("l_linenumber").alias("line"))
 
 

@@ -45,6 +45,23 @@ def test_either_key_and_cascade(spark):
     assert [(r.hit_v, r.matched_by) for r in got] == [("A", 0), ("B2", 1), (None, None)]
 
 
+def test_either_key_tells_each_pair_once_without_keeping_pairs(spark):
+    """Rows of one name with several keys, null keys and repeated rows, against brute force; nothing is aggregated after the joins."""
+    import random
+
+    rng = random.Random(3)
+    pick = lambda n: rng.choice([None, *range(n)])
+    left = [(rng.randrange(40), pick(6), pick(6)) for _ in range(60)] * 2
+    right = [(rng.randrange(9), pick(4), pick(6), pick(6)) for _ in range(60)] * 2
+    l, r = spark.createDataFrame(left, "id int, a int, b int"), spark.createDataFrame(right, "x int, y int, c int, d int")
+    out = J.either_key(l, r, [("a", "c"), ("b", "d")], ["x", "y"])
+    want = {(i, x, y) for i, a, b in left for x, y, c, d in right if (a is not None and a == c) or (b is not None and b == d)}
+    got = [(q.id, q.x, q.y) for q in out.collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
+
+
 def test_people_and_names(spark):
     c = spark.createDataFrame([("Acme Inc.", "acme.io"), ("Zed", "globex.com")], "name string, domain string")
     p = spark.createDataFrame([("Jane", "acme"), ("Joe", "Globex Holdings"), ("Jim", "other")], "person string, company string")
