@@ -62,6 +62,17 @@ def test_either_key_tells_each_pair_once_without_keeping_pairs(spark):
     assert "Aggregate" not in plan[: plan.index("Join")]
 
 
+def test_lines_of_null_keys_are_not_one(spark, tmp_path):
+    """A line is named by its two columns: of (null, 5) and (5, null) none stands for the other. Repeated rows count once."""
+    from leadlake.plans import catalogue
+
+    spark.createDataFrame([(1, 7), (1, 7), (5, 8), (6, None)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(None, 5, 7, 50.0), (5, None, 7, 50.0), (5, None, 7, 50.0), (1, 1, 7, 50.0), (6, 1, None, 50.0), (6, 2, 8, 10.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(map(str, (tuple(r) for r in catalogue.queries()["evidence_by_either_key"](spark, str(tmp_path)).collect())))
+    assert got == sorted(map(str, [(1, None, 5), (1, 5, None), (1, 1, 1), (5, 5, None), (6, 6, 1)]))
+
+
 def test_people_and_names(spark):
     c = spark.createDataFrame([("Acme Inc.", "acme.io"), ("Zed", "globex.com")], "name string, domain string")
     p = spark.createDataFrame([("Jane", "acme"), ("Joe", "Globex Holdings"), ("Jim", "other")], "person string, company string")
