@@ -29,7 +29,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @tidy
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 5-word shingle sets of similarity 0.8 or more one stays."""
+    """Of documents linked by 5-word shingle sets of similarity 0.8 or more one stays: SimHash links, checked, then all others."""
     ship(spark)
     return resemblance.survivors(docs)
 

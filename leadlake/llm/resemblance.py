@@ -1,4 +1,7 @@
-"""Near-dedup by exact resemblance of shingle sets: every pair of documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more is linked.
+"""Near-dedup by SimHash and exact resemblance: every pair of documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more is linked.
+
+First come the links of SimHash fingerprints of the same shingles by the pigeonhole principle (simhash.py), those whose whole sets are similar. They join
+components before anything else is compared; texts of 0.8 similarity often differ in more bits, and these are found as follows.
 
 Candidates come from prefixes, which lose nothing: in any one order of all shingles, two sets of similarity s share one of the first
 n - ceil(s * n) + 1 shingles of each (n its size). The order puts shingles that are common in a bounded sample last, so that boilerplate seldom
@@ -22,6 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadlake.llm import simhash
 from leadlake.llm._common import bitmap, body, boxed, cut, lean, maybe_in, number, tasks
 from leadlake.llm.cells import meet
 from leadlake.llm.graph import components
@@ -43,7 +47,12 @@ def shingle_set(text: bytes, k: int = SHINGLE) -> np.ndarray:
     """The distinct shingle hashes in ascending order; never empty."""
     from xxhash import xxh64_intdigest
 
-    h = shingle_hashes(text, k)
+    return _set(shingle_hashes(text, k))
+
+
+def _set(h: np.ndarray) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
     return np.unique(h if len(h) else np.array([xxh64_intdigest(b"", SEED)], np.uint64))
 
 
@@ -61,9 +70,11 @@ def _prefixes(common: np.ndarray, times: np.ndarray):
 
         lean()
         for b in batches:
-            fps, sizes, maps, wides, firsts = [], [], [], [], []
+            fps, sims, sizes, maps, wides, firsts = [], [], [], [], [], []
             for t in b.column("text").cast(pa.large_string()).cast(pa.large_binary()):
-                s = shingle_set(t.as_py())
+                h = shingle_hashes(t.as_py(), SHINGLE)
+                s = _set(h)
+                sims.append(simhash.fingerprint_of(h))
                 n = len(s)
                 fps.append(_vertex(s))
                 sizes.append(n)
@@ -80,8 +91,8 @@ def _prefixes(common: np.ndarray, times: np.ndarray):
             ends = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64)))
             broad = pa.ListArray.from_arrays(pa.array(np.arange(0, len(wides) + 1, dtype=np.int32) * (WIDE // 64)), pa.array(np.concatenate(wides) if wides else np.zeros(0, np.int64)))
-            cols = [b.column("doc_id"), b.column("text_hash"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int32)), *(pa.array(np.ascontiguousarray(four[:, i])) for i in range(4)), broad, lists]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "fp", "n", *_MAPS, "wide", "prefix"])
+            cols = [b.column("doc_id"), b.column("text_hash"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sims, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int32)), *(pa.array(np.ascontiguousarray(four[:, i])) for i in range(4)), broad, lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "fp", "sim", "n", *_MAPS, "wide", "prefix"])
 
     return run
 
@@ -178,12 +189,25 @@ def _one_each(prints: DataFrame, fps: DataFrame) -> DataFrame:
     return maybe_in(prints, "fp", again, False).select(*cols).unionByName(maybe_in(prints, "fp", again).select(*cols).dropDuplicates(["fp"]))
 
 
+def _by_simhash(prints: DataFrame, n: int) -> DataFrame:
+    """Pairs of vertices that SimHash links: of each fingerprint all with the least one, and the least ones of linked fingerprints."""
+    marks = cut(prints.groupBy("fp").agg(F.min("sim").alias("sim")), "near-marks", n)
+    heads = cut(marks.groupBy("sim").agg(F.min("fp").alias("head")), "near-heads", n)
+    equal = marks.join(heads, "sim").where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b"))
+    head = lambda c: heads.select(F.col("sim").alias(c), F.struct(F.col("head").alias("fp")).alias(f"h{c}"))
+    linked = simhash.links(heads.select(F.col("sim").alias("fp"))).select("a", "b").join(head("a"), "a").join(head("b"), "b").where("a <> b")
+    return equal.unionByName(linked.select(*_pair(F.col("ha"), F.col("hb"))))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the vertex of its set), component_id for each row of docs."""
     rows = docs.select(number().alias("doc_id"), body().alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    schema = f"doc_id long, text_hash long, fp long, n int, {', '.join(f'{m} long' for m in _MAPS)}, wide array<long>, prefix array<long>"
+    schema = f"doc_id long, text_hash long, fp long, sim long, n int, {', '.join(f'{m} long' for m in _MAPS)}, wide array<long>, prefix array<long>"
     prints = cut(rows.select("doc_id", "text_hash", "text").mapInArrow(_prefixes(*_common(rows)), schema), "near-prints")
     fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "near-distinct", tasks(prints))
+    check = _Checker(rows, prints)
+    first = check.links(_by_simhash(prints, tasks(prints)), "near-simhash", tasks(prints))
+    comp = components(first, "near-cc-simhash")
 
     one = _one_each(prints, fps)
     shared = cut(one.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "near-shared", tasks(prints, 20_000))
@@ -203,8 +227,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     live = cut(held(shared.where(f"rows > {SMALL}"), x, before), "near-live", wide)
     total = live.count()
     n = tasks(live)
-    check = _Checker(rows, prints)
-    found = check.links(met.unionByName(_against_one(live.withColumn("comp", F.col("x.fp")), 0)), "near-turn-0", wide)
+    at = live.join(comp, live["x.fp"] == comp["v"], "left").select("key", "x", F.coalesce("comp", "x.fp").alias("comp"))
+    found = check.links(met.unionByName(_against_one(at, 0)).join(first, ["a", "b"], "left_anti"), "near-turn-0", wide).unionByName(first)
     comp = components(found, "near-cc-0")
     pairs_before = float("inf")
     for turn in count(1):

@@ -86,7 +86,10 @@ def _bits_set(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: bytes) -> int:
-    h = shingle_hashes(text)
+    return fingerprint_of(shingle_hashes(text))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
     if not len(h):
         return 0
     on = 2 * _bits_set(h) > len(h)

@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 
 import corpus_pipeline
-from leadlake.llm import cells, resemblance
+from leadlake.llm import cells, resemblance, simhash
 
 
 def slow_set(text):
@@ -68,6 +68,25 @@ def test_components_are_those_of_brute_force(spark, near_rows, monkeypatch, side
     assert got == sorted(zip([str(i) for i, _ in near_rows], map(str, want), strict=True))
 
 
+def test_the_pipelines_stage_goes_through_simhash(spark, near_rows, monkeypatch):
+    """Fingerprints of the same shingles are linked by simhash.links, and links of similar sets join before any bucket is compared."""
+    seen, plain, checked, check = [], simhash.links, {}, resemblance._Checker.links
+    monkeypatch.setattr(simhash, "links", lambda fps: seen.append((fps.collect(), plain(fps))) or seen[-1][1])
+
+    def links(self, pairs, name, files):
+        out = check(self, pairs, name, files)
+        checked[name] = (pairs.count(), out.count())
+        return out
+
+    monkeypatch.setattr(resemblance._Checker, "links", links)
+    corpus_pipeline.near(spark, spark.createDataFrame(near_rows, "doc_id long, text string"), "").count()
+    [(fps, _)] = seen
+    texts = [(t or "").encode() for _, t in near_rows]
+    want = {simhash.fingerprint_of(simhash.shingle_hashes(t, 5)) for t in texts}
+    assert {r.fp % (1 << 64) for r in fps} <= want and len(fps) > 0.9 * len(want)
+    assert next(iter(checked)) == "near-simhash" and checked["near-simhash"][0] >= checked["near-simhash"][1] > 10
+
+
 def test_the_pipelines_stage_leaves_one_of_each_near_copy(spark, odd, near_rows, none):
     docs = spark.createDataFrame(near_rows, "doc_id long, text string")
     want = {i for (i, _), c in zip(near_rows, slow_components(near_rows), strict=True) if i is None or i == c}
