@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from leadlake.llm._common import body, cut, tasks
+from leadlake.llm._common import body, cut, lean, tasks
 from leadlake.llm.tokens import chunks, crc, default_path, encoder
 
 CAPACITY = 4096
 #: A piece stays whole if it fills its slot but for this share; slots of at most SMALL tokens take what comes.
 SLACK, SMALL = 0.02, 64
+#: Bytes of text that a task encodes at once, and words that its encoder keeps: they bound a worker's memory, never results.
+CHUNK_BYTES, CACHE_WORDS = 1 << 20, 200_000
 
 
 def cuts(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -49,10 +51,11 @@ def _cutter(tokenizer: str, capacity: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, of, part, seq = encoder(tokenizer), functools.lru_cache(100_000)(lambda n: cuts(n, capacity)), TaskContext.get().partitionId(), 0
+        lean(forget=False)
+        enc, of, part, seq = encoder(tokenizer, CACHE_WORDS), functools.lru_cache(100_000)(lambda n: cuts(n, capacity)), TaskContext.get().partitionId(), 0
         for b in batches:
             ids_of = b.column("doc_id")
-            for i, c in chunks(b.column("text")):
+            for i, c in chunks(b.column("text"), CHUNK_BYTES):
                 ids, starts = enc.encode(c)
                 doc, first, size, kind, sums = [], [], [], [], []
                 for d, (a, z) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):

@@ -137,5 +137,26 @@ def test_op6_pieces_tile_documents_and_sequences(odd, odd_rows):
         assert at == len(ids)
 
 
+def test_packing_tasks_are_bounded_in_memory(monkeypatch):
+    """Many different words in one batch: the task encodes a megabyte at once, keeps a bounded number of words, and its pieces are those of the whole texts."""
+    import pyspark
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: type("Context", (), {"partitionId": lambda self: 0})()))
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    at_once, plainly = [], tokens.WordEncoder.encode
+    monkeypatch.setattr(tokens.WordEncoder, "encode", lambda self, c: at_once.append(c.nbytes) or plainly(self, c))
+    rng = random.Random(3)
+    texts = [" ".join("%x" % rng.getrandbits(40) for _ in range(1500)) for _ in range(170)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    out = [r for b in packing._cutter(PATH, 4096)(iter([batch])) for r in b.to_pylist()]
+    assert batch.nbytes > 2.5e6 and len(at_once) >= 3 and max(at_once) < 1.1e6
+    assert 100_000 < len(tokens._ENCODERS[PATH].words) <= 200_000
+    for d in (0, 77, 169):
+        ids = plain(texts[d])
+        mine = [r for r in out if r["doc_id"] == d]
+        assert sum(r["length"] for r in mine) == len(ids) and all(r["ids_crc32"] == crc(ids[r["start"] : r["start"] + r["length"]]) for r in mine)
+    assert len(tokens.encoder(PATH).words) > 100_000 >= len(tokens.encoder(PATH, 100_000).words)
+
+
 def test_op6_empty(none):
     assert packing.op6(none).collect() == []
