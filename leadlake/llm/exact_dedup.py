@@ -59,7 +59,7 @@ def index(docs: DataFrame, digest=sha256) -> DataFrame:
     rows = rows.withColumn("digest", digest(F.col("text")))
     log = cut(rows.select("doc_id", "digest", F.spark_partition_id().alias("run"), F.monotonically_increasing_id().alias("pos")), "lsm-log")
     n = tasks(log)
-    hits = cut(_merged(levels(log)[-1]).where("n > 1").coalesce(n).sortWithinPartitions("digest"), "lsm-hits", **_BLOOM)
+    hits = cut(_merged(levels(log)[-1]).where("n > 1").coalesce(n).sortWithinPartitions("digest"), "lsm-level-hits", **_BLOOM)
     probes = maybe_in(rows.select("*", _slot()), "slot", bitmap(hits.select(_slot()), "slot"))
     verified = probes.groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
     clash = cut(verified.where("lo <> hi").select("digest"), "lsm-clash", n)
